@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +23,17 @@ def build_session(app: str = "flaglens", master: str | None = None, shuffle_part
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once for a context, so that Python functions of it load there."""
+    context = spark.sparkContext
+    if not getattr(context, "_flaglens_shipped", False):
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="flaglens-")) / "flaglens.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        context._flaglens_shipped = True
+    return spark
