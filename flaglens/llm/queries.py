@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from flaglens.llm import mixing
+from flaglens.llm import mixing, pii, secrets, vafile
 
 QUERIES = {
+    "op3_pii": pii.query,
+    "op4_secrets": secrets.query,
+    "op6_vafile": vafile.query,
     "op10_mixing": mixing.query,
 }
 
 ORACLES = {
+    "op6_vafile": vafile.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
