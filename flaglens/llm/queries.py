@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from flaglens.llm import mixing, pii, secrets, vafile
+from flaglens.llm import mixing, pii, secrets, toxicity, vafile
 
 QUERIES = {
     "op3_pii": pii.query,
     "op4_secrets": secrets.query,
     "op6_vafile": vafile.query,
+    "op9_toxicity": toxicity.query,
     "op10_mixing": mixing.query,
 }
 
