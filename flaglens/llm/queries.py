@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from flaglens.llm import mixing, pii, secrets, toxicity, vafile
+from flaglens.llm import mixing, pii, secrets, token_file, toxicity, vafile
 
 QUERIES = {
+    "op1_token_file": token_file.query,
     "op3_pii": pii.query,
     "op4_secrets": secrets.query,
     "op6_vafile": vafile.query,
