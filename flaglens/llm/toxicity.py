@@ -23,6 +23,7 @@ other columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -191,7 +192,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, keep: list[
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     shared = ship(spark).sparkContext.broadcast(model)
-    name = f"{shared.id}-{spark.sparkContext.applicationId}"
+    name = uuid.uuid4().hex  # of this model, so that a worker forgets words of another one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _words_of[0] != name:
