@@ -8,13 +8,15 @@ piece once, many pieces in one call. Any other text goes to the library as a who
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
 
 class PieceEncoder:
-    """encode(text) gives ids as bytes of `dtype`, little-endian. At most `remembered` pieces are kept."""
+    """encode(texts) gives the ids of each as bytes of `dtype`, little-endian. About `remembered` pieces are kept at most."""
 
-    def __init__(self, path: str, remembered: int = 1_000_000):
+    def __init__(self, path: str, remembered: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,21 +46,25 @@ class PieceEncoder:
                 else:
                     self.known.update((p, self._ids(p if mark == "\n" else " " + p).tobytes()) for p in group)
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.fits or len(text.split()) != text.count(" ") + text.count("\n") + 1:
-            return self._ids(text).tobytes()
-        # As after a line feed, whose one id is cut off again.
+    def _pieces(self, text: str) -> list[str] | None:
+        """The pieces of a text as after a line feed, whose one id is cut off again; None where it must stay whole."""
+        if not self.fits or not text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+            return None
         pieces = f"\n{text}".replace("\n", " \n").split(" ")
         del pieces[0]
-        fresh = set(pieces).difference(self.known)
+        return pieces
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [self._pieces(t) for t in texts]
+        every = set(chain.from_iterable(p for p in split if p))
+        fresh = every.difference(self.known)
         if fresh:
             if len(self.known) > self.remembered:
                 self.known.clear()
-                fresh = set(pieces)
+                fresh = every
             self._learn(list(fresh))
-        return b"".join(map(self.known.__getitem__, pieces))[self.dtype.itemsize :]
+        get, cut = self.known.__getitem__, self.dtype.itemsize
+        return [b"".join(map(get, p))[cut:] if p else self._ids(t).tobytes() for t, p in zip(texts, split, strict=True)]
 
 
 _encoders: dict[str, PieceEncoder] = {}

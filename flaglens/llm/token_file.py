@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ from flaglens.session import ship
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK, EVERY = 1 << 16, 128
+#: Texts that are encoded together.
+TEXTS = 64
 #: Blocks whose lanes are decoded together.
 TOGETHER = 8
 BLOCKS = "part int, block int, offset long, doc_ids array<long>, doc_tokens array<int>, payload binary, checkpoints binary"
@@ -50,12 +53,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def _squeeze(raw: bytes, width: int) -> bytes:
-    """Ids by byte place, deflated: for the way from the encoders to the sorted parts alone."""
-    return zlib.compress(np.frombuffer(raw, dtype=np.uint8).reshape(-1, width).T.tobytes(), 1)
+    """Ids by byte place, compressed: for the way from the encoders to the sorted parts alone."""
+    return zstandard.compress(np.frombuffer(raw, dtype=np.uint8).reshape(-1, width).T.tobytes(), 1)
 
 
 def _unsqueeze(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(width, -1)
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(width, -1)
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
@@ -68,7 +71,9 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None,
         own = encoder(path)
         end = np.array([end_id], dtype=own.dtype).tobytes()
         for b in batches:
-            ids = [_squeeze(own.encode(t.as_py() or "") + end, width) for t in b.column(1)]
+            ids: list[bytes] = []
+            for i in range(0, b.num_rows, TEXTS):
+                ids += [_squeeze(x + end, width) for x in own.encode([t or "" for t in b.column(1).slice(i, TEXTS).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return ship(spark) and docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary"), width
