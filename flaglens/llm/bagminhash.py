@@ -277,3 +277,16 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document; class_id is the smallest doc_id of its class."""
     return classes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class, that of the smallest doc_id, with its own columns; rows without a doc_id stay."""
+    found = classes(spark, docs)
+    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    if twice.isEmpty():
+        return kept
+    hint = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
+    once = kept.join(hint, F.col("doc_id") == F.col("_twice"), "left_anti")
+    return once.unionByName(kept.join(hint, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"]))

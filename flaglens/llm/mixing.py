@@ -13,9 +13,8 @@ first and rows of the one bucket that holds the boundary second, so no source is
 
 Nulls and odd rows: a null or empty text has size 0 and takes 0; a null source is a source of its own, ordered
 last; a null doc_id hashes as the text "null"; repeated rows with one doc_id are separate rows that share a place
-in the order (the whole run of them is taken or left); an empty table gives an empty result. Other columns, such
-as ones named `size` or `target`, pass through `mix` untouched under their own names only if they don't clash:
-`plan_documents` reads doc_id, text and source alone.
+in the order (the whole run of them is taken or left); an empty table gives an empty result. Other columns pass
+through `mix` under whatever name; `plan_documents` reads doc_id, text and source alone.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flaglens.llm.store import BROADCAST_ROWS, Workspace
+from flaglens.llm.store import BROADCAST_ROWS, Workspace, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -66,8 +65,9 @@ def _order_key(seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
 
 
-def plan_documents(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, seed=SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, repeats), one row per row of docs."""
+def plan_sources(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, seed=SEED) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, place) of every row, and (s, source_size, target, whole, last) of every source, hinted to be
+    broadcast where the sources are few."""
     work = Workspace(spark, "mix")
     slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     slim = work.keep(slim.withColumn("place", _order_key(seed)), "sizes")
@@ -98,18 +98,30 @@ def plan_documents(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share=
     last = ends.withColumnRenamed("s", "s3").join(last, F.col("s3").eqNullSafe(F.col("s")), "left").select(F.col("s3"), F.coalesce("last", "bucket").alias("last"))
     last = work.keep(last.coalesce(1), "last")
 
-    final = plan.join(last, F.col("s").eqNullSafe(F.col("s3")), "left").drop("s3")
-    out = slim.join(hint(final), F.col("source").eqNullSafe(F.col("s")))
-    extra = F.when(F.col("last").isNotNull() & (F.col("place") <= F.col("last")), 1).otherwise(0)
-    repeats = (F.col("whole") + extra).cast("long")
+    return slim, hint(plan.join(last, F.col("s").eqNullSafe(F.col("s3")), "left").select("s", "source_size", "target", "whole", "last"))
+
+
+def _repeats(place: Column) -> Column:
+    extra = F.when(F.col("last").isNotNull() & (place <= F.col("last")), 1).otherwise(0)
+    return (F.col("whole") + extra).cast("long")
+
+
+def plan_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, repeats), one row per row of docs."""
+    slim, sources = plan_sources(spark, docs, **options)
+    out = slim.join(sources, F.col("source").eqNullSafe(F.col("s")))
+    repeats = _repeats(F.col("place"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents: every row of docs as often as the plan repeats it, with docs' own columns."""
-    plan = plan_documents(spark, docs, **options).select(F.col("doc_id").alias("_mix_id"), F.col("repeats").alias("_mix_n")).distinct()
-    out = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_mix_id"))).where("_mix_n > 0")
-    return out.withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """The mixed documents: every row of docs as often as the plan repeats it, with docs' own columns; texts don't move."""
+    seed = options.get("seed", SEED)
+    _, sources = plan_sources(spark, docs, **options)
+    row, times = fresh("row", docs.columns), fresh("times", docs.columns)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col("source").alias("_source"), _order_key(seed).alias("_place"))
+    held = held.join(sources, F.col("_source").eqNullSafe(F.col("s"))).withColumn(times, _repeats(F.col("_place"))).where(F.col(times) > 0)
+    return held.select(F.explode(F.array_repeat(row, F.col(times).cast("int"))).alias(row)).select(f"{row}.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,3 +147,8 @@ SELECT d.doc_id, d.size, t.source_size, t.target,
        CAST(t.whole + CASE WHEN k.last IS NOT NULL AND d.place <= k.last THEN 1 ELSE 0 END AS BIGINT) AS repeats
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN kept k ON k.psource IS NOT DISTINCT FROM d.source
 """
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents."""
+    return mix(spark, docs)

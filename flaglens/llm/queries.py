@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from flaglens.llm import bagminhash, mixing, pii, secrets, token_file, toxicity, vafile
+from flaglens.llm import bagminhash, decontaminate, mixing, pii, secrets, token_file, toxicity, vafile
 
 QUERIES = {
     "op1_token_file": token_file.query,
     "op3_pii": pii.query,
     "op4_secrets": secrets.query,
+    "op5_decontamination": decontaminate.query,
     "op6_vafile": vafile.query,
     "op7_bagminhash": bagminhash.query,
     "op9_toxicity": toxicity.query,

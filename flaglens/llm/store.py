@@ -50,3 +50,16 @@ class Workspace:
             jvm = self.spark._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that clashes with none of columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def columns_ddl(df: DataFrame) -> str:
+    """The columns of df as a schema string."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

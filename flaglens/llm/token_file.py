@@ -186,3 +186,8 @@ def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The digest of the token file of docs."""
+    return digest(spark, docs)
