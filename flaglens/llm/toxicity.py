@@ -12,7 +12,8 @@ linear, an n-gram's vector and the softmax fold into one number for scoring, and
 on the same worker.
 
 The model is fitted on the driver on at most `SAMPLE` labelled documents, half of them toxic where there are as many,
-chosen by a hash of doc_id from those whose crc32(doc_id as text) mod 5 isn't 0; that bound is a parameter. Everything
+chosen by a hash of doc_id from those whose crc32(doc_id as text) mod 5 isn't 0; that bound is a parameter. A fifth of
+the sample isn't trained on but sets the bias: no more than 1 - `CLEAN` of its clean documents may score 0.5 or more. Everything
 else covers all rows. Labels, lang, source and doc_id are no inputs of a score.
 
 Null and empty texts score as a passage without words does. Without labelled rows of both classes every score is 0.
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flaglens.llm.store import columns_ddl, fresh
 from flaglens.session import ship
 
 NGRAMS = (3, 4, 5)
@@ -40,6 +42,7 @@ DIM = 8
 PASSAGE = 1
 STRIDE = 1
 SAMPLE = 3000
+CLEAN = 0.995
 #: Steps of training; so many of them on whole documents; the most suspect and the random passages of each clean document.
 STEPS, WHOLE, HARD, RANDOM = 120, 10, 4, 6
 #: Words longer than this are scored but not remembered, and a worker forgets all words beyond this many.
@@ -149,6 +152,15 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> Model | None:
     return Model(vectors @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]))
 
 
+def calibrate(model: Model, texts: list[str], labels: list[int]) -> Model:
+    """Lower the bias until at most 1 - CLEAN of these documents' clean ones are predicted toxic; never raise it."""
+    known: dict[str, float] = {}
+    odds = sorted(_odds(t, model, known) for t, y in zip(texts, labels, strict=True) if not y)
+    if odds:
+        model.bias -= max(0.0, odds[min(len(odds) - 1, int(CLEAN * len(odds)))] + 1e-6)
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fit on a bounded sample of the labelled documents that aren't held out."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id IS NOT NULL AND _toxic IN (0, 1)")
@@ -160,7 +172,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         sample = part if sample is None else sample.unionByName(part)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("_id", "text", "_toxic").collect()
     rows.sort(key=lambda r: (r["_id"], r["text"] or ""))
-    return fit([r["text"] or "" for r in rows], [r["_toxic"] for r in rows])
+    texts, toxic = [r["text"] or "" for r in rows], [r["_toxic"] for r in rows]
+    aside = [zlib.crc32(f"aside:{r['_id']}".encode()) % 5 == 0 for r in rows]
+    own = lambda x, there: [v for v, a in zip(x, aside, strict=True) if a == there]
+    model = fit(own(texts, False), own(toxic, False))
+    return model and calibrate(model, own(texts, True), own(toxic, True))
 
 
 _words: dict[str, float] = {}
@@ -188,9 +204,10 @@ def _odds(text: str, model: Model, known: dict[str, float]) -> float:
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns in `keep` and score, predicted; docs needs a column text."""
+    """The columns in `keep`, then score and predicted, under names that clash with none of them."""
+    names = [fresh("score", keep), fresh("predicted", keep)]
     if model is None:
-        return docs.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return docs.select(*keep, F.lit(0.0).alias(names[0]), F.lit(0).alias(names[1]))
     shared = ship(spark).sparkContext.broadcast(model)
     name = uuid.uuid4().hex  # of this model, so that a worker forgets words of another one
 
@@ -201,11 +218,10 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, keep: list[
         for b in batches:
             z = np.array([_odds(t or "", shared.value, _words) for t in b.column(b.num_columns - 1).to_pylist()], dtype=np.float64)
             p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*b.schema.names[:-1], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*b.schema.names[:-1], *names])
 
-    slim = docs.select(*keep, F.col("text").alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    return slim.mapInArrow(run, f"{kept}, score double, predicted int")
+    slim = docs.select(*keep, F.col("text").alias(fresh("text", keep)))
+    return slim.mapInArrow(run, f"{columns_ddl(slim.select(*keep))}, `{names[0]}` double, `{names[1]}` int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,4 +234,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic, with their own columns."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(spark, docs, model, docs.columns).where("predicted = 0").select(*docs.columns)
+    return score(spark, docs, model, docs.columns).where(F.col(fresh("predicted", docs.columns)) == 0).select(*docs.columns)
