@@ -13,6 +13,13 @@ from itertools import chain
 import numpy as np
 
 
+def single_spaced(text: str) -> bool:
+    """Whether all white space of a text is single spaces and line feeds between other characters: as many characters of
+    white space as spaces and line feeds, and one word more."""
+    words, marks = text.split(), text.count(" ") + text.count("\n")
+    return len(words) == marks + 1 and len(text) - len("".join(words)) == marks
+
+
 class PieceEncoder:
     """encode(texts) gives the ids of each as bytes of `dtype`, little-endian. About `remembered` pieces are kept at most."""
 
@@ -48,7 +55,7 @@ class PieceEncoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         """The pieces of a text as after a line feed, whose one id is cut off again; None where it must stay whole."""
-        if not self.fits or not text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        if not self.fits or not single_spaced(text):
             return None
         pieces = f"\n{text}".replace("\n", " \n").split(" ")
         del pieces[0]
@@ -67,6 +74,29 @@ class PieceEncoder:
         return [b"".join(map(get, p))[cut:] if p else self._ids(t).tobytes() for t, p in zip(texts, split, strict=True)]
 
 
+    def unit_counts(self, parts: list[str]) -> np.ndarray:
+        """The number of ids of each of the parts of a text, cut before single spaces and line feeds."""
+        if not parts:
+            return np.zeros(0, dtype=np.int64)
+        bare = parts[0][0] not in " \n"
+        if self.fits and single_spaced(("" if bare else "x") + "".join(parts)):
+            keys = [p[1:] if p[0] == " " else p for p in parts]
+            keys[0] = f"\n{parts[0]}" if bare else keys[0]
+            counts = self._known_counts(keys)
+            counts[0] -= bare
+            return counts
+        return np.array([len(self._ids(p)) for p in parts], dtype=np.int64)
+
+    def _known_counts(self, keys: list[str]) -> np.ndarray:
+        fresh = set(keys).difference(self.known)
+        if fresh:
+            if len(self.known) > self.remembered:
+                self.known.clear()
+                fresh = set(keys)
+            self._learn(list(fresh))
+        return np.fromiter(map(len, map(self.known.__getitem__, keys)), dtype=np.int64, count=len(keys)) // self.dtype.itemsize
+
+
 _encoders: dict[str, PieceEncoder] = {}
 
 
