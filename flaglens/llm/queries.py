@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flaglens.llm import bagminhash, decontaminate, mixing, pii, secrets, token_file, toxicity, vafile
+from flaglens.llm import bagminhash, decontaminate, mixing, pii, secrets, token_counts, token_file, toxicity, vafile
 
 QUERIES = {
     "op1_token_file": token_file.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_decontamination": decontaminate.query,
     "op6_vafile": vafile.query,
     "op7_bagminhash": bagminhash.query,
+    "op8_token_counts": token_counts.query,
     "op9_toxicity": toxicity.query,
     "op10_mixing": mixing.query,
 }
