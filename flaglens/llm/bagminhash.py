@@ -13,9 +13,9 @@ documents agree at a place with probability equal to their weighted Jaccard simi
 on the total weight alone are not drawn unless a place is still empty, so a document costs about M ln M points.
 
 Linking, without pairs of a group. Equal texts are one text, that of the smallest doc_id. Each band of `ROWS` places is
-a key; in every bucket each text is compared with one hub only (the smallest id), pairs are distinct over all bands, and
-their texts are verified. Links join into classes (by labels that spread over written tables). What a hub doesn't settle
-is found exactly: buckets that still hold texts of two classes are cut into cells of at most twice `CELL` texts, and in a
+a key; in every bucket each text is met with one hub only (the smallest id). A text is verified with the hub that it
+shares most bands with, links join into classes (by labels that spread over written tables), and then with those other
+hubs that are of another class still. What hubs don't settle is found exactly: buckets that still hold texts of two classes are cut into cells of at most twice `CELL` texts, and in a
 cell all signatures are compared at once in numpy, of which only pairs that are estimated near the threshold or above,
 and of different classes, come out and are verified. So no link that a band shows is lost, however large its bucket is.
 
@@ -251,9 +251,16 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     own = sketch.where("doc_id IS NOT NULL AND bands IS NOT NULL").join(firsts.select("text_hash", F.col("text_id").alias("doc_id")), ["text_hash", "doc_id"], "left_semi").dropDuplicates(["text_hash"])
     bands = work.keep(own.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")), "bands", compression="none")
     hubs = bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    pairs = bands.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    met = bands.join(hubs, "key").where("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("shared"))
+    met = work.keep(met, "met")
     texts = plain.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    links = _linked(work, texts, pairs)
+    # First the hub that a text shares most bands with; then the other hubs, where that has left two classes.
+    links = _linked(work, texts, met.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")))
+    labels = spread_labels(work, links)
+    label_of = lambda end: labels.select(F.col("id").alias(end), F.col("label").alias(f"of_{end}"))
+    apart = met.select("a", "b").join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
+    apart = apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    links = links.unionByName(_linked(work, texts, apart))
     labels = spread_labels(work, links)
 
     # Buckets that hold texts of two classes still: all their members, by cells.
