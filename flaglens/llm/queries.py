@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from flaglens.llm import bagminhash, decontaminate, mixing, pii, secrets, token_counts, token_file, toxicity, vafile
+from flaglens.llm import bagminhash, decontaminate, mixing, pii, secrets, site_tree, token_counts, token_file, toxicity, vafile
 
 QUERIES = {
     "op1_token_file": token_file.query,
+    "op2_site_tree": site_tree.query,
     "op3_pii": pii.query,
     "op4_secrets": secrets.query,
     "op5_decontamination": decontaminate.query,
