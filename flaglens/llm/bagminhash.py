@@ -13,7 +13,8 @@ documents agree at a place with probability equal to their weighted Jaccard simi
 on the total weight alone are not drawn unless a place is still empty, so a document costs about M ln M points.
 
 Linking, without pairs of a group. Equal texts are one text, that of the smallest doc_id. Each band of `ROWS` places is
-a key; in every bucket each text is met with one hub only (the smallest id). A text is verified with the hub that it
+a key; in every bucket each text is met with one hub only (that which meets most texts over all its buckets, then the
+smallest id). A text is verified with the hub that it
 shares most bands with, links join into classes (by labels that spread over written tables), and then with those other
 hubs that are of another class still. What hubs don't settle is found exactly: buckets that still hold texts of two classes are cut into cells of at most twice `CELL` texts, and in a
 cell all signatures are compared at once in numpy, of which only pairs that are estimated near the threshold or above,
@@ -250,8 +251,12 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     same = work.keep(sketch.select("doc_id", "text_hash").join(firsts, "text_hash").where("doc_id IS NOT NULL").select("doc_id", "text_id"), "same")
     own = sketch.where("doc_id IS NOT NULL AND bands IS NOT NULL").join(firsts.select("text_hash", F.col("text_id").alias("doc_id")), ["text_hash", "doc_id"], "left_semi").dropDuplicates(["text_hash"])
     bands = work.keep(own.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")), "bands", compression="none")
-    hubs = bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    met = bands.join(hubs, "key").where("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("shared"))
+    sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = work.keep(bands.join(sizes, "key").select("key", "id", "n"), "shared")
+    # The hub of a bucket is the text that meets most others over all its buckets: that which the others are copies of.
+    ranked = shared.join(shared.groupBy("id").agg(F.sum("n").alias("degree")), "id")
+    hubs = ranked.groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub"))
+    met = shared.join(hubs, "key").where("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("shared"))
     met = work.keep(met, "met")
     texts = plain.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
     # First the hub that a text shares most bands with; then the other hubs, where that has left two classes.
