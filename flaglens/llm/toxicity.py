@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,10 +110,15 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> Model | None:
     if len(set(labels)) < 2:
         return None
     index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in WORD.findall(t.lower())], dtype=np.int64) for t in texts]
-    rows = [subwords(w) for w in index] or [[0]]
-    sizes = np.array([len(r) for r in rows])
-    flat, owner = np.concatenate([np.array(r) for r in rows]), np.repeat(np.arange(len(rows)), sizes)
+    docs = [np.array([index.setdefault(w, len(index)) for w in WORD.findall(t.lower())], dtype=np.int32) for t in texts]
+    grams_of, sizes_of = array("i"), array("i")  # plain arrays: lists of numbers would take the driver's memory
+    for w in index or [""]:
+        rows = subwords(w)
+        grams_of.extend(rows)
+        sizes_of.append(len(rows))
+    flat, sizes = np.frombuffer(grams_of, dtype=np.int32), np.frombuffer(sizes_of, dtype=np.int32).astype(np.int64)
+    index.clear()
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     rng = np.random.default_rng(seed)
     vectors, soft = rng.normal(0, 0.02, (BUCKETS, DIM)), np.zeros((DIM, 2))
@@ -134,8 +140,10 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> Model | None:
         used, at = np.unique(np.concatenate(now), return_inverse=True)
         doc = np.repeat(np.arange(len(now)), [len(d) for d in now])
         length = np.maximum(1, [len(d) for d in now])
-        mine = np.flatnonzero(np.isin(owner, used))
-        grams, word = flat[mine], np.searchsorted(used, owner[mine])
+        place = np.full(len(sizes), -1, dtype=np.int32)
+        place[used] = np.arange(len(used), dtype=np.int32)
+        word = place[owner]
+        grams, word = flat[word >= 0], word[word >= 0]
         count = sizes[used][:, None]
         means = np.stack([np.bincount(word, vectors[grams, j], len(used)) for j in range(DIM)], 1) / count
         x = np.stack([np.bincount(doc, means[at, j], len(now)) for j in range(DIM)], 1) / length[:, None]
