@@ -41,6 +41,8 @@ VOCABULARY = "byte_bpe_50k.json"
 BLOCK, EVERY = 1 << 16, 128
 #: Texts that are encoded together.
 TEXTS = 64
+#: Documents whose ids are counted together.
+COUNTED = 256
 #: Blocks whose lanes are decoded together.
 TOGETHER = 8
 BLOCKS = "part int, block int, offset long, doc_ids array<long>, doc_tokens array<int>, payload binary, checkpoints binary"
@@ -85,8 +87,8 @@ def count_ids(ids: DataFrame, width: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
         for b in batches:
-            for x in b.column(0):
-                seen = np.bincount(_unsqueeze(x.as_py(), width))
+            for i in range(0, b.num_rows, COUNTED):
+                seen = np.bincount(np.concatenate([_unsqueeze(x.as_py(), width) for x in b.column(0).slice(i, COUNTED)]))
                 if len(seen) > len(total):
                     total = np.concatenate([total, np.zeros(len(seen) - len(total), dtype=np.int64)])
                 total[: len(seen)] += seen
