@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flaglens.llm.store import BROADCAST_ROWS, Workspace
+from flaglens.llm.worker import hold
 from flaglens.session import ship
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -49,6 +50,8 @@ CELL = 256
 WORD = re.compile(r"\w+")
 #: Words handled at once.
 BATCH_WORDS = 200_000
+#: Words whose hashes a worker keeps.
+REMEMBERED = 800_000
 
 _u = np.uint64
 
@@ -73,7 +76,7 @@ class _Words(dict):
         raw = word.encode("utf-8", "surrogatepass")
         v = zlib.crc32(raw) | zlib.crc32(raw[::-1] + b"#%d" % len(raw)) << 32
         if len(word) <= 64:
-            if len(self) > 1_500_000:
+            if len(self) > REMEMBERED:
                 self.clear()
             self[word] = v
         return v
@@ -160,6 +163,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands[i], sign[i] = keys[j], low[j].tobytes()
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(sign, pa.binary())], ["doc_id", "text_hash", "bands", "sign"])
 
+    hold("bagminhash", _words.clear)
     ids, hashes, bags, n = [], [], [], 0
     for b in batches:
         for doc_id, text_hash, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -177,6 +181,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) of (a, b, text_a, text_b) that are linked. Rows come in order of b, so its bag is kept."""
+    hold("bagminhash", _words.clear)
     last, bag = None, None
     for b in batches:
         keep = []

@@ -12,6 +12,8 @@ from itertools import chain
 
 import numpy as np
 
+from flaglens.llm.worker import hold
+
 
 def single_spaced(text: str) -> bool:
     """Whether all white space of a text is single spaces and line feeds between other characters: as many characters of
@@ -102,6 +104,7 @@ _encoders: dict[str, PieceEncoder] = {}
 
 def encoder(path: str) -> PieceEncoder:
     """This worker's encoder for a vocabulary file."""
+    hold("encoding", _encoders.clear)
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = PieceEncoder(path)

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flaglens.llm.store import columns_ddl, fresh
+from flaglens.llm.worker import hold
 from flaglens.session import ship
 
 NGRAMS = (3, 4, 5)
@@ -47,7 +48,7 @@ CLEAN = 0.995
 #: Steps of training; so many of them on whole documents; the most suspect and the random passages of each clean document.
 STEPS, WHOLE, HARD, RANDOM = 120, 10, 4, 6
 #: Words longer than this are scored but not remembered, and a worker forgets all words beyond this many.
-LONG_WORD, REMEMBERED = 64, 1_500_000
+LONG_WORD, REMEMBERED = 64, 1_000_000
 #: Words have a letter; numbers alone say nothing.
 WORD = re.compile(r"\d*_*[^\W\d_]\w*")
 
@@ -220,6 +221,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, keep: list[
     name = uuid.uuid4().hex  # of this model, so that a worker forgets words of another one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity", _words.clear)
         if _words_of[0] != name:
             _words.clear()
             _words_of[0] = name
