@@ -200,10 +200,12 @@ def _cell_pairs(key, table):
     one = key[1].as_py() == key[2].as_py()
     a_out, b_out = [], []
     for i in np.flatnonzero(half == 0):
-        near = (sign == sign[i]).mean(1) >= ESTIMATE
-        near &= (labels != labels[i]) & ((ids > ids[i]) if one else (half == 1))
+        equal = sign == sign[i]
+        near = np.flatnonzero((equal.mean(1) >= ESTIMATE) & (labels != labels[i]) & ((ids > ids[i]) if one else (half == 1)))
+        # A pair comes out of the first band that it shares only; its bucket there holds two classes as well.
+        near = near[equal[near].reshape(-1, ROWS, BANDS).all(1).argmax(1) == key[3].as_py()]
         b_out.append(ids[near])
-        a_out.append(np.full(int(near.sum()), ids[i]))
+        a_out.append(np.full(len(near), ids[i]))
     a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a_out, b_out))
     return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
@@ -255,7 +257,7 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     firsts = sketch.where("doc_id IS NOT NULL").groupBy("text_hash").agg(F.min("doc_id").alias("text_id"))
     same = work.keep(sketch.select("doc_id", "text_hash").join(firsts, "text_hash").where("doc_id IS NOT NULL").select("doc_id", "text_id"), "same")
     own = sketch.where("doc_id IS NOT NULL AND bands IS NOT NULL").join(firsts.select("text_hash", F.col("text_id").alias("doc_id")), ["text_hash", "doc_id"], "left_semi").dropDuplicates(["text_hash"])
-    bands = work.keep(own.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")), "bands", compression="none")
+    bands = work.keep(own.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key")), "bands", compression="none")
     sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = work.keep(bands.join(sizes, "key").select("key", "id", "n"), "shared")
     # The hub of a bucket is the text that meets most others over all its buckets: that which the others are copies of.
@@ -274,15 +276,15 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     labels = spread_labels(work, links)
 
     # Buckets that hold texts of two classes still: all their members, by cells.
-    with_label = bands.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    with_label = bands.join(labels, "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("label"))
     split = with_label.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
     rest = with_label.join(split.select("key", "n"), "key").withColumn("cuts", F.ceil(F.col("n") / CELL).cast("int"))
     rest = rest.withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts").cast("long")).cast("int"))
     # A text of cut i is in the cells (i, j) and (j, i) of its bucket, that with the smaller cut first.
     other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    rest = rest.withColumn("other", other).select("key", "id", "label", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), (F.col("cut") > F.col("other")).cast("int").alias("half"))
+    rest = rest.withColumn("other", other).select("band", "key", "id", "label", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), (F.col("cut") > F.col("other")).cast("int").alias("half"))
     signs = own.select(F.col("doc_id").alias("id"), "sign")
-    cells = rest.join(signs, "id").groupBy("key", "i", "j").applyInArrow(_cell_pairs, "a long, b long")
+    cells = rest.join(signs, "id").groupBy("key", "i", "j", "band").applyInArrow(_cell_pairs, "a long, b long")
     more = _linked(work, texts, cells)
     labels = spread_labels(work, links.unionByName(more))
     labels = labels.withColumnRenamed("id", "text_id")

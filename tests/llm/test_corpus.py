@@ -116,7 +116,7 @@ def test_cells_find_links_that_hubs_miss():
     import pyarrow as pa
 
     table = pa.table({"half": [0, 0, 1], "id": [5, 9, 7], "label": [5, 9, 7], "sign": [one.tobytes(), r.integers(0, 256, bagminhash.M).astype(np.uint8).tobytes(), one.tobytes()]})
-    key = (pa.scalar(1), pa.scalar(0), pa.scalar(1))
+    key = (pa.scalar(1), pa.scalar(0), pa.scalar(1), pa.scalar(0))
     assert bagminhash._cell_pairs(key, table).to_pylist() == [{"a": 7, "b": 5}]
 
 
