@@ -193,17 +193,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cell_pairs(key, table):
-    """Of a cell's texts (half, id, label, sign), the pairs of two classes that look near; halves are met with each other."""
+    """Of a cell's texts (half, id, label, sign, earlier), the pairs of two classes that look near; halves are met with each other.
+
+    earlier: the text's keys of the bands before the cell's own, in order; not read for band 0, which has none.
+    """
     rows = table.select(["half", "id", "label", "sign"]).to_pydict()
     half, ids, labels = np.array(rows["half"]), np.array(rows["id"], dtype=np.int64), np.array(rows["label"], dtype=np.int64)
     sign = np.frombuffer(b"".join(rows["sign"]), dtype=np.uint8).reshape(len(ids), M)
+    band = key[3].as_py()
+    earlier = table["earlier"].combine_chunks().flatten().to_numpy().reshape(len(ids), band) if band else np.zeros((len(ids), 0), dtype=np.int64)
     one = key[1].as_py() == key[2].as_py()
     a_out, b_out = [], []
     for i in np.flatnonzero(half == 0):
         equal = sign == sign[i]
         near = np.flatnonzero((equal.mean(1) >= ESTIMATE) & (labels != labels[i]) & ((ids > ids[i]) if one else (half == 1)))
-        # A pair comes out of the first band that it shares only; its bucket there holds two classes as well.
-        near = near[equal[near].reshape(-1, ROWS, BANDS).all(1).argmax(1) == key[3].as_py()]
+        # A pair comes out of the first band that it shares only; its bucket there holds two classes as well. Whole keys
+        # tell, as buckets are made by them: places may agree in the byte of a signature and not be equal.
+        near = near[~(earlier[near] == earlier[i]).any(1)]
         b_out.append(ids[near])
         a_out.append(np.full(len(near), ids[i]))
     a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a_out, b_out))
@@ -283,8 +289,8 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # A text of cut i is in the cells (i, j) and (j, i) of its bucket, that with the smaller cut first.
     other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
     rest = rest.withColumn("other", other).select("band", "key", "id", "label", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), (F.col("cut") > F.col("other")).cast("int").alias("half"))
-    signs = own.select(F.col("doc_id").alias("id"), "sign")
-    cells = rest.join(signs, "id").groupBy("key", "i", "j", "band").applyInArrow(_cell_pairs, "a long, b long")
+    signs = own.select(F.col("doc_id").alias("id"), "sign", "bands")
+    cells = rest.join(signs, "id").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band"))).drop("bands").groupBy("key", "i", "j", "band").applyInArrow(_cell_pairs, "a long, b long")
     more = _linked(work, texts, cells)
     labels = spread_labels(work, links.unionByName(more))
     labels = labels.withColumnRenamed("id", "text_id")

@@ -120,6 +120,37 @@ def test_cells_find_links_that_hubs_miss():
     assert bagminhash._cell_pairs(key, table).to_pylist() == [{"a": 7, "b": 5}]
 
 
+def test_cells_let_out_each_pair_once():
+    """Of the bands that two texts share, one lets them out, also where an earlier band agrees in low bytes only."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    mixed = lambda x: x * np.uint64(0x9E3779B97F4A7C15) ^ x >> np.uint64(29)
+
+    def out(places):
+        keys = np.zeros((2, bagminhash.BANDS), dtype=np.uint64)
+        for k in range(bagminhash.ROWS):
+            keys = mixed(keys ^ places[:, k * bagminhash.BANDS : (k + 1) * bagminhash.BANDS] + np.uint64(k))
+        keys, low = keys.view(np.int64), places.astype(np.uint8)
+        shared = np.flatnonzero(keys[0] == keys[1])
+        pairs = []
+        for band in shared:
+            cell = pa.table({"half": [0, 0], "id": [5, 9], "label": [5, 9], "sign": [x.tobytes() for x in low], "earlier": [x[:band].tolist() for x in keys]})
+            pairs += bagminhash._cell_pairs((pa.scalar(1), pa.scalar(0), pa.scalar(0), pa.scalar(int(band))), cell).to_pylist()
+        return len(shared), pairs
+
+    one = r.integers(0, 2**63, bagminhash.M).astype(np.uint64)
+    other = one.copy()
+    other[0] ^= np.uint64(256)  # band 0 agrees in all low bytes, but isn't shared
+    assert out(np.stack([one, other])) == (bagminhash.BANDS - 1, [{"a": 9, "b": 5}])
+    for _ in range(400):
+        a = r.integers(0, 2**63, bagminhash.M).astype(np.uint64)
+        b = np.where(r.random(bagminhash.M) < 0.85, a, r.integers(0, 2**63, bagminhash.M).astype(np.uint64))
+        n, pairs = out(np.stack([a, b]))
+        near = (a.astype(np.uint8) == b.astype(np.uint8)).mean() >= bagminhash.ESTIMATE
+        assert pairs == ([{"a": 9, "b": 5}] if n and near else [])
+
+
 def test_decontamination(spark):
     r = random.Random(5)
     items = [(i, f"{prose(r, r.randint(10, 60))}. {prose(r, r.randint(3, 12))}.") for i in range(40)] + [(90, None), (91, "  "), (92, "tiny item"), (None, prose(r, 30))]
