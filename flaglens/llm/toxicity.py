@@ -12,9 +12,11 @@ linear, an n-gram's vector and the softmax fold into one number for scoring, and
 on the same worker.
 
 The model is fitted on the driver on at most `SAMPLE` labelled documents, half of them toxic where there are as many,
-chosen by a hash of doc_id from those whose crc32(doc_id as text) mod 5 isn't 0; that bound is a parameter. A fifth of
-the sample isn't trained on but sets the bias: no more than 1 - `CLEAN` of its clean documents may score 0.5 or more. Everything
-else covers all rows. Labels, lang, source and doc_id are no inputs of a score.
+chosen by a hash of doc_id from those whose crc32(doc_id as text) mod 5 isn't 0; that bound is a parameter. `FOLDS`
+models are fitted, each without a fold of the sample, and their mean is used; the scores of both classes by the model
+that wasn't fitted on them set the bias (see threshold). Where these scores don't tell the classes apart, as with few
+examples, the bias is above all of them. Everything else covers all rows. Labels, lang, source and doc_id are no inputs
+of a score.
 
 Null and empty texts score as a passage without words does. Without labelled rows of both classes every score is 0.
 Repeated rows get the same score; rows with a null doc_id are held out (their crc32 is that of the text "null");
@@ -44,7 +46,7 @@ DIM = 8
 PASSAGE = 1
 STRIDE = 1
 SAMPLE = 3000
-CLEAN = 0.995
+FOLDS = 5
 #: Steps of training; so many of them on whole documents; the most suspect and the random passages of each clean document.
 STEPS, WHOLE, HARD, RANDOM = 120, 10, 4, 6
 #: Words longer than this are scored but not remembered, and a worker forgets all words beyond this many.
@@ -161,13 +163,41 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> Model | None:
     return Model(vectors @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]))
 
 
-def calibrate(model: Model, texts: list[str], labels: list[int]) -> Model:
-    """Lower the bias until at most 1 - CLEAN of these documents' clean ones are predicted toxic; never raise it."""
-    known: dict[str, float] = {}
-    odds = sorted(_odds(t, model, known) for t, y in zip(texts, labels, strict=True) if not y)
-    if odds:
-        model.bias -= max(0.0, odds[min(len(odds) - 1, int(CLEAN * len(odds)))] + 1e-6)
-    return model
+def threshold(odds: np.ndarray, toxic: np.ndarray) -> float:
+    """The log odds from which on a document counts as toxic, halfway between two of these.
+
+    It is that with the most of the toxic documents found less the share of clean ones lost, both shrunk towards a half
+    by two made-up documents and lowered by two standard errors; if that is nowhere above 0, it is above all odds.
+    """
+    values = np.unique(odds)
+    cuts = (values[1:] + values[:-1]) / 2
+    share, noise = [], 0.0
+    for y in (1, 0):
+        of = np.sort(odds[toxic == y])
+        share.append((len(of) - np.searchsorted(of, cuts) + 1) / (len(of) + 2))
+        noise = noise + share[-1] * (1 - share[-1]) / (len(of) + 2)
+    gain = share[0] - share[1] - 2 * np.sqrt(noise)
+    return float(cuts[gain.argmax()]) if len(cuts) and gain.max() > 0 else float(values[-1]) + 1e-6
+
+
+def cross_fit(ids: list[int], texts: list[str], toxic: list[int]) -> Model | None:
+    """The mean of the models of all folds, with the bias set; None if no fold has two classes to be fitted on."""
+    fold, y = np.array([zlib.crc32(f"aside:{i}".encode()) % FOLDS for i in ids]), np.array(toxic)
+    odds, ngram, biases = np.full(len(ids), np.nan), np.zeros(BUCKETS), []
+    for k in range(FOLDS):
+        own = np.flatnonzero(fold != k)
+        model = fit([texts[i] for i in own], y[own].tolist())
+        if model is not None:
+            known: dict[str, float] = {}
+            for i in np.flatnonzero(fold == k):
+                odds[i] = _odds(texts[i], model, known)
+            ngram += model.ngram
+            biases.append(model.bias)
+    if not biases:
+        return None
+    scored = ~np.isnan(odds)
+    cut = threshold(odds[scored], y[scored]) if scored.any() else 0.0
+    return Model(ngram / len(biases), sum(biases) / len(biases) - cut)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -182,10 +212,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("_id", "text", "_toxic").collect()
     rows.sort(key=lambda r: (r["_id"], r["text"] or ""))
     texts, toxic = [r["text"] or "" for r in rows], [r["_toxic"] for r in rows]
-    aside = [zlib.crc32(f"aside:{r['_id']}".encode()) % 5 == 0 for r in rows]
-    own = lambda x, there: [v for v, a in zip(x, aside, strict=True) if a == there]
-    model = fit(own(texts, False), own(toxic, False))
-    return model and calibrate(model, own(texts, True), own(toxic, True))
+    return cross_fit([r["_id"] for r in rows], texts, toxic)
 
 
 _words: dict[str, float] = {}

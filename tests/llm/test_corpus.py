@@ -225,6 +225,33 @@ def test_toxicity(spark, tmp_path):
     assert all(x["score"] == 0 for x in toxicity.score(spark, docs(spark, rows[:2]), None, ["doc_id"]).collect())
 
 
+def test_toxicity_threshold_looks_at_both_classes(spark):
+    """A few clean labels on toxic texts don't let all toxic documents pass."""
+    r = random.Random(11)
+    texts, labels = {}, {}
+    for i in range(450):
+        words, labels[i] = prose(r, r.randint(5, 60)).split(), int(i % 5 == 0)
+        if labels[i]:
+            words.insert(r.randrange(len(words)), r.choice(("grumblefoot", "snarkweasel", "blithertwit")))
+        texts[i] = " ".join(words)
+    for i in [i for i in labels if not labels[i] and zlib.crc32(str(i).encode()) % 5 and zlib.crc32(f"aside:{i}".encode()) % 5 == 0][:2]:
+        texts[i] += " grumblefoot snarkweasel blithertwit"
+    df = docs(spark, [(i, t, "s") for i, t in texts.items()])
+    model = toxicity.train(df, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    aside = [i for i in texts if zlib.crc32(str(i).encode()) % 5 == 0]
+    got = {i: toxicity._odds(texts[i], model, {}) >= 0 for i in aside}
+    assert np.mean([got[i] for i in aside if labels[i]]) > 0.9 and np.mean([got[i] for i in aside if not labels[i]]) < 0.1
+
+
+def test_toxicity_threshold():
+    y = np.array([0] * 100 + [1] * 20)
+    apart = np.concatenate([np.linspace(-2, -1, 99), [6], np.linspace(1, 5, 20)])
+    assert toxicity.threshold(apart, y) == 0
+    mixed = np.concatenate([np.linspace(-1, 1, 100), np.linspace(-1, 1, 20)])
+    assert toxicity.threshold(mixed, y) > 1
+    assert toxicity.threshold(np.array([0.5, 2.0]), np.array([0, 0])) > 2
+
+
 PAGE = '<html><head><title>t</title></head><body><nav><a href="/x">menu</a></nav><div class="x1">{note}</div><article><h1>T &amp; t</h1><p><b>One<br>two.<br><p>Three &lt;x&gt;</p><div class="ad">buy</div></article><footer>f</footer>'
 
 
