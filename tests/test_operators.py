@@ -9,6 +9,7 @@ from flaglens.operators import extraction as X
 from flaglens.operators import lines as L
 from flaglens.operators import members as M
 from flaglens.operators import usage as U
+from flaglens.plans.catalogue import QUERIES
 from flaglens.registry import canonical, language
 
 
@@ -157,3 +158,16 @@ def test_extents():
     assert [(n, source.encode()[s:e].decode()) for n, s, e in extents(source, "python")][0] == ("a", "def a():\n    def b():\n        pass")
     assert [n for n, _, _ in extents("def a(:\n  x\n\ndef b():\n  y", "python")] == ["a", "b"]
     assert extents("", "java") == [] and extents("x", "config") == []
+
+
+def test_line_end_bytes_of_all_separators(spark, tmp_path):
+    texts = ["a\r\nbc\r\n", "a\rb\n\rc", "\u00e9\x0bb\x0cc", "x\x1cy\x1dz\x1e", "n\x85\u00fc\u2028p\u2029\u2029", "\r\n", "\n\n", "plain\nlines", "", None, "no end"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, text in enumerate(texts):
+        end = -1
+        for n, line in enumerate((text or "").splitlines()):
+            end += len(line.encode()) + 1
+            want.append((str(i), n, end))
+    found = QUERIES["line_end_bytes"](spark, str(tmp_path))
+    assert got(found) == sorted(want)
