@@ -113,6 +113,25 @@ _add(
     t AS (SELECT {NAME_SQL} AS toggle FROM nation)
     SELECT toggle, path, fn_name, CAST((length(lower(body)) - length(replace(lower(body), lower(toggle), ''))) // length(toggle) AS BIGINT) AS n FROM x JOIN t ON contains(lower(body), lower(toggle))""",
 )
+
+
+def spread_functions_code(s: SparkSession, d: str) -> DataFrame:
+    """As spread_functions, on all of the code corpus with a function for every ten lines."""
+    lines = code_lines(s, d)
+    files = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls")).select("path", F.array_join("ls.line", "\n").alias("content"))
+    ends = L.with_end_bytes(lines).withColumn("k", F.floor(F.col("line_no") / 10))
+    extents = ends.groupBy("path", "k").agg(F.min(F.col("end_byte") - F.octet_length("line")).alias("start_byte"), F.max("end_byte").alias("end_byte"))
+    extents = extents.select("path", F.col("k").cast("int").alias("ord"), F.concat(F.lit("fn"), F.col("k").cast("string")).alias("fn_name"), "start_byte", "end_byte")
+    return U.function_usage(files, extents, _hits(s, d))
+
+
+_add(
+    "spread_functions_code",
+    spread_functions_code,
+    f"""WITH l AS ({LINES_SQL}), t AS ({TOGGLES_SQL})
+    SELECT toggle, path, 'fn' || CAST(line_no // 10 AS VARCHAR) AS fn_name, CAST(sum((length(lower(line)) - length(replace(lower(line), lower(toggle), ''))) // length(toggle)) AS BIGINT) AS n
+    FROM l JOIN t ON contains(lower(line), lower(toggle)) GROUP BY ALL""",
+)
 for _lang, _parent in (("cpp", None), ("csharp", None), ("java", None), ("go", None)):
     _texts = {"cpp": [r"(class .+)\s*\n?\{", r"(namespace .+)\s*\n?\{"], "csharp": [r"(namespace .*);"], "java": [r"class (.*( extends|implements \w*)*) \{[\s\S]*%s"], "go": [r"\npackage (.*)(\n)"]}[_lang]
     _each = " UNION ".join(f"SELECT toggle, regexp_extract(content, replace({quote(p)}, '%s', '\\Q' || toggle || '\\E'), 1) AS parent, path FROM h" for p in _texts)

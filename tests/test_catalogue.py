@@ -39,3 +39,8 @@ def test_entry(spark):
 
 def test_queries_have_names():
     assert len(entry.queries()) >= len(entry.oracle_sql()) > 50
+
+
+def test_functions_of_all_code_lines(spark):
+    found = entry.queries()["spread_functions_code"](spark, str(SF))
+    assert sum(r["n"] for r in found.collect()) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
