@@ -27,8 +27,6 @@ gives an empty result.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flaglens.llm.store import BROADCAST_ROWS, Workspace
-from flaglens.llm.worker import hold
+from flaglens.llm.store import BROADCAST_ROWS, Workspace, fresh
+from flaglens.llm.words import BATCH_CHARS, Words, mix
 from flaglens.session import ship
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -47,59 +45,33 @@ M = ROWS * BANDS
 #: A pair of similarity 0.8 is estimated at least this near (four standard deviations of M places).
 ESTIMATE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / M) ** 0.5
 CELL = 256
-WORD = re.compile(r"\w+")
-#: Words handled at once.
-BATCH_WORDS = 200_000
-#: Words whose hashes a worker keeps.
-REMEMBERED = 800_000
+#: Pairs of a hub that are verified in one stretch of its key: a hub's text is copied once for each.
+HUB_PAIRS = 512
 
 _u = np.uint64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads every bit (splitmix64)."""
-    x = x + _u(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> _u(30))) * _u(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _u(27))) * _u(0x94D049BB133111EB)
-    return x ^ (x >> _u(31))
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     """In (0, 1)."""
     return ((x >> _u(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-class _Words(dict):
-    """64-bit hashes of words, kept on the worker."""
-
-    def __missing__(self, word: str) -> int:
-        raw = word.encode("utf-8", "surrogatepass")
-        v = zlib.crc32(raw) | zlib.crc32(raw[::-1] + b"#%d" % len(raw)) << 32
-        if len(word) <= 64:
-            if len(self) > REMEMBERED:
-                self.clear()
-            self[word] = v
-        return v
-
-
-_words = _Words()
-
-
-def shingles(words: list[str]) -> np.ndarray:
-    """A hash of each shingle, in order."""
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = _mix(np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words)))
-    n = max(1, len(h) - SHINGLE + 1)
-    out = np.zeros(n, dtype=np.uint64)
-    for i in range(min(SHINGLE, len(h))):
-        out = _mix(out ^ h[i : i + n])
+def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct shingles of each text as hashes, ascending, and how often each occurs."""
+    words = Words(texts)
+    h, out, at = words.hashes(), [], 0
+    for size in words.sizes.tolist():
+        part, at = h[at : at + size], at + size
+        sums = np.zeros(max(1, size - SHINGLE + 1) if size else 0, dtype=np.uint64)
+        for i in range(min(SHINGLE, size)):
+            sums = mix(sums ^ part[i : i + len(sums)])
+        out.append(np.unique(sums, return_counts=True))
     return out
 
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of a text, ascending, and how often each occurs."""
-    return np.unique(shingles(WORD.findall(text.lower())), return_counts=True)
+    """bags() of one text."""
+    return bags([text])[0]
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -123,73 +95,71 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         base = todo[doc] * M
         low, high, level = np.zeros(len(items)), np.ones(len(items)), 0
         while len(items):
-            _points(_mix(items ^ _u(level * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)), low, high, count, limit[doc], base, sign)
+            _points(mix(items ^ _u(level * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)), low, high, count, limit[doc], base, sign)
             more = count > high
             items, count, doc, base = items[more], count[more], doc[more], base[more]
             low, high, level = high[more], high[more] * 2, level + 1
         empty = np.isinf(sign.reshape(-1, M)[todo]).any(1)
         sign.reshape(-1, M)[todo[empty]] = np.inf
         todo, spare = todo[empty], spare * 2 + 3
-    return _mix(sign.view(np.uint64)).reshape(-1, M)
+    return mix(sign.view(np.uint64)).reshape(-1, M)
 
 
 def _points(seed: np.ndarray, low: np.ndarray, high: np.ndarray, count: np.ndarray, limit: np.ndarray, base: np.ndarray, sign: np.ndarray) -> None:
     """Draw the points of one range of each item up to its limit, and lower the places that they fall on."""
     rate, time, at = high - low, np.zeros(len(seed)), np.arange(len(seed))
     while len(at):
-        seed = _mix(seed)
+        seed = mix(seed)
         time = time - np.log(_unit(seed)) / rate[at]
         go = time <= limit[at]
         at, time, seed = at[go], time[go], seed[go]
-        other = _mix(seed ^ _u(0xD6E8FEB86659FD93))
-        seen = (low[at] + rate[at] * _unit(_mix(other)) <= count[at]) if rate[0] > 1 or low[0] else slice(None)
+        other = mix(seed ^ _u(0xD6E8FEB86659FD93))
+        seen = (low[at] + rate[at] * _unit(mix(other)) <= count[at]) if rate[0] > 1 or low[0] else slice(None)
         np.minimum.at(sign, (base[at] + (other % _u(M)).astype(np.int64))[seen], time[seen])
 
 
+def _by_chars(texts: list[str | None]) -> Iterator[slice]:
+    """Stretches of the texts of about BATCH_CHARS characters."""
+    low = size = 0
+    for high, text in enumerate(texts, 1):
+        size += len(text or "")
+        if size >= BATCH_CHARS or high == len(texts):
+            yield slice(low, high)
+            low, size = high, 0
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_hash, bands, sign): band keys and a byte of each place; both null for texts without a word."""
-
-    def flush() -> pa.RecordBatch:
-        bands, sign = [None] * len(ids), [None] * len(ids)
-        full = [i for i, bag in enumerate(bags) if len(bag[0])]
-        if full:
-            s = signatures([bags[i] for i in full])
-            keys = np.zeros((len(full), BANDS), dtype=np.uint64)
-            for r in range(ROWS):
-                keys = _mix(keys ^ s[:, r * BANDS : (r + 1) * BANDS])
-            keys = _mix(keys ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-            low = s.astype(np.uint8)
-            for j, i in enumerate(full):
-                bands[i], sign[i] = keys[j], low[j].tobytes()
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(sign, pa.binary())], ["doc_id", "text_hash", "bands", "sign"])
-
-    hold("bagminhash", _words.clear)
-    ids, hashes, bags, n = [], [], [], 0
     for b in batches:
-        for doc_id, text_hash, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            bag = counted(text.as_py())
-            ids.append(doc_id)
-            hashes.append(text_hash)
-            bags.append(bag)
-            n += len(bag[0])
-            if n >= BATCH_WORDS or len(ids) >= 2000:
-                yield flush()
-                ids, hashes, bags, n = [], [], [], 0
-    if ids:
-        yield flush()
+        texts = b.column(2).to_pylist()
+        for part in _by_chars(texts):
+            found = bags(texts[part])
+            bands, sign = [None] * len(found), [None] * len(found)
+            full = [i for i, bag in enumerate(found) if len(bag[0])]
+            if full:
+                s = signatures([found[i] for i in full])
+                keys = np.zeros((len(full), BANDS), dtype=np.uint64)
+                for r in range(ROWS):
+                    keys = mix(keys ^ s[:, r * BANDS : (r + 1) * BANDS])
+                keys = mix(keys ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+                low = s.astype(np.uint8)
+                for j, i in enumerate(full):
+                    bands[i], sign[i] = keys[j], low[j].tobytes()
+            rows = slice(part.start, part.stop - part.start)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(rows.start, rows.stop), b.column(1).slice(rows.start, rows.stop), pa.array(bands, pa.list_(pa.int64())), pa.array(sign, pa.binary())], ["doc_id", "text_hash", "bands", "sign"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) of (a, b, text_a, text_b) that are linked. Rows come in order of b, so its bag is kept."""
-    hold("bagminhash", _words.clear)
+    """The pairs (a, b) of (a, b, text_a, text_b) that are linked. Rows of one b mostly come in a row, so its bag is kept."""
     last, bag = None, None
-    for b in batches:
-        keep = []
-        for i in range(b.num_rows):
-            if last != (hub := b.column(1)[i].as_py()):
-                last, bag = hub, counted(b.column(3)[i].as_py() or "")
-            keep.append(similarity(counted(b.column(2)[i].as_py() or ""), bag) >= THRESHOLD)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    for batch in batches:
+        hubs, texts, keep = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
+        for part in _by_chars(texts):
+            for i, own in enumerate(bags([t or "" for t in texts[part]]), part.start):
+                if last != hubs[i]:
+                    last, bag = hubs[i], counted(batch.column(3)[i].as_py() or "")
+                keep.append(similarity(own, bag) >= THRESHOLD)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _cell_pairs(key, table):
@@ -232,9 +202,10 @@ def spread_labels(work: Workspace, links: DataFrame) -> DataFrame:
         new = new.join(far, "new", "left").select("id", F.coalesce(F.least("new", "far"), "new").alias("label"), F.col("label").alias("old"))
         new = work.keep(new, "labels")
         if new.where("label <> old").isEmpty():
-            return new.select("id", "label")
+            work.drop(labels, edges)
+            return work.alias(new.select("id", "label"), new)
         work.drop(labels)
-        labels = new.select("id", "label")
+        labels = work.alias(new.select("id", "label"), new)
 
 
 def _checked_semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -244,33 +215,44 @@ def _checked_semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _linked(work: Workspace, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are linked."""
+    """The pairs (a, b) whose texts are linked. The pairs of a hub b are dealt out by HUB_PAIRS, each part with b's text."""
     pairs = work.keep(pairs.distinct(), "pairs")
     needed = work.keep(_checked_semi(texts, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))), "texts")
-    with_a = pairs.join(needed.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(needed.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    cuts = work.keep(pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("cuts")), "cuts")
+    hot = F.broadcast(cuts.where("cuts > 1"))  # checked below
+    if cuts.where("cuts > 1").count() > BROADCAST_ROWS:
+        hot = cuts.where("cuts > 1")
+    cut = lambda by: F.pmod(F.xxhash64(by), F.coalesce("cuts", F.lit(1)).cast("long")).cast("int")
+    dealt = pairs.join(hot, "b", "left").select("a", "b", cut("a").alias("cut"))
+    hubs = needed.withColumnRenamed("id", "b").join(cuts, "b").select("b", F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
+    with_a = dealt.join(needed.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = with_a.join(hubs, ["b", "cut"]).select("a", "b", "text_a", "text_b")
     found = work.keep(with_b.mapInArrow(_verify, "a long, b long"), "links")
-    work.drop(needed)
+    work.drop(needed, cuts, pairs)
     return found
 
 
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, text_id), one row per row of docs: class, and the smallest id with an equal text."""
+    """(doc_id, class_id, text_id), one row per row of docs: class, and the smallest id with an equal text.
+
+    What a hot key is joined with is a written table on both sides, so that adaptive execution can split its partition."""
     work = Workspace(ship(spark), "bagminhash")
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_hash"), text.alias("text"))
     sketch = work.keep(plain.mapInArrow(_sketch, "doc_id long, text_hash string, bands array<long>, sign binary"), "sketch", compression="none")
-    firsts = sketch.where("doc_id IS NOT NULL").groupBy("text_hash").agg(F.min("doc_id").alias("text_id"))
+    firsts = work.keep(sketch.where("doc_id IS NOT NULL").groupBy("text_hash").agg(F.min("doc_id").alias("text_id")), "firsts")
     same = work.keep(sketch.select("doc_id", "text_hash").join(firsts, "text_hash").where("doc_id IS NOT NULL").select("doc_id", "text_id"), "same")
-    own = sketch.where("doc_id IS NOT NULL AND bands IS NOT NULL").join(firsts.select("text_hash", F.col("text_id").alias("doc_id")), ["text_hash", "doc_id"], "left_semi").dropDuplicates(["text_hash"])
+    own = sketch.where("doc_id IS NOT NULL AND bands IS NOT NULL").join(firsts.select("text_hash", F.col("text_id").alias("doc_id")), ["text_hash", "doc_id"], "left_semi")
+    own = own.dropDuplicates(["text_hash", "doc_id"])  # repeated rows; the join has left one id of each text
     bands = work.keep(own.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key")), "bands", compression="none")
-    sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = work.keep(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     shared = work.keep(bands.join(sizes, "key").select("key", "id", "n"), "shared")
     # The hub of a bucket is the text that meets most others over all its buckets: that which the others are copies of.
     ranked = shared.join(shared.groupBy("id").agg(F.sum("n").alias("degree")), "id")
-    hubs = ranked.groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub"))
+    hubs = work.keep(ranked.groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub")), "hubs")
     met = shared.join(hubs, "key").where("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("shared"))
     met = work.keep(met, "met")
+    work.drop(sizes, shared, hubs)
     texts = plain.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
     # First the hub that a text shares most bands with; then the other hubs, where that has left two classes.
     links = _linked(work, texts, met.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")))
@@ -280,11 +262,14 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     apart = apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
     links = links.unionByName(_linked(work, texts, apart))
     labels = spread_labels(work, links)
+    work.drop(met)
 
     # Buckets that hold texts of two classes still: all their members, by cells.
-    with_label = bands.join(labels, "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("label"))
+    with_label = work.keep(bands.join(labels, "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("label")), "labelled", compression="none")
+    work.drop(bands)
     split = with_label.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
-    rest = with_label.join(split.select("key", "n"), "key").withColumn("cuts", F.ceil(F.col("n") / CELL).cast("int"))
+    split = work.keep(split.select("key", "n"), "split")
+    rest = with_label.join(split, "key").withColumn("cuts", F.ceil(F.col("n") / CELL).cast("int"))
     rest = rest.withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts").cast("long")).cast("int"))
     # A text of cut i is in the cells (i, j) and (j, i) of its bucket, that with the smaller cut first.
     other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
@@ -293,6 +278,7 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     cells = rest.join(signs, "id").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band"))).drop("bands").groupBy("key", "i", "j", "band").applyInArrow(_cell_pairs, "a long, b long")
     more = _linked(work, texts, cells)
     labels = spread_labels(work, links.unionByName(more))
+    work.drop_all(same, labels, sketch)
     labels = labels.withColumnRenamed("id", "text_id")
     out = same.join(labels, "text_id", "left").select("doc_id", F.coalesce("label", "text_id").alias("class_id"), "text_id")
     nobody = sketch.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("text_id"))
@@ -307,11 +293,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, that of the smallest doc_id, with its own columns; rows without a doc_id stay."""
     found = classes(spark, docs)
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
-    if twice.isEmpty():
+    gone_id, twice_id = fresh("gone", docs.columns), fresh("twice", docs.columns)
+    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col("doc_id") == F.col(gone_id), "left_anti")
+    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(twice_id))
+    n = twice.count()
+    if not n:
         return kept
-    hint = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
-    once = kept.join(hint, F.col("doc_id") == F.col("_twice"), "left_anti")
-    return once.unionByName(kept.join(hint, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"]))
+    hint = F.broadcast(twice) if n <= BROADCAST_ROWS else twice
+    once = kept.join(hint, F.col("doc_id") == F.col(twice_id), "left_anti")
+    return once.unionByName(kept.join(hint, F.col("doc_id") == F.col(twice_id), "left_semi").dropDuplicates(["doc_id"]))
