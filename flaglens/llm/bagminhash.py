@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flaglens.llm.store import BROADCAST_ROWS, Workspace, fresh
-from flaglens.llm.words import BATCH_CHARS, Words, mix
+from flaglens.llm.words import Words, by_chars, mix
 from flaglens.session import ship
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -118,21 +118,11 @@ def _points(seed: np.ndarray, low: np.ndarray, high: np.ndarray, count: np.ndarr
         np.minimum.at(sign, (base[at] + (other % _u(M)).astype(np.int64))[seen], time[seen])
 
 
-def _by_chars(texts: list[str | None]) -> Iterator[slice]:
-    """Stretches of the texts of about BATCH_CHARS characters."""
-    low = size = 0
-    for high, text in enumerate(texts, 1):
-        size += len(text or "")
-        if size >= BATCH_CHARS or high == len(texts):
-            yield slice(low, high)
-            low, size = high, 0
-
-
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_hash, bands, sign): band keys and a byte of each place; both null for texts without a word."""
     for b in batches:
         texts = b.column(2).to_pylist()
-        for part in _by_chars(texts):
+        for part in by_chars(texts):
             found = bags(texts[part])
             bands, sign = [None] * len(found), [None] * len(found)
             full = [i for i, bag in enumerate(found) if len(bag[0])]
@@ -154,7 +144,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, bag = None, None
     for batch in batches:
         hubs, texts, keep = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
-        for part in _by_chars(texts):
+        for part in by_chars(texts):
             for i, own in enumerate(bags([t or "" for t in texts[part]]), part.start):
                 if last != hubs[i]:
                     last, bag = hubs[i], counted(batch.column(3)[i].as_py() or "")

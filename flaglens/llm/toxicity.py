@@ -1,34 +1,33 @@
 """Toxicity scores from averaged subword embeddings and a linear softmax, trained jointly in numpy.
 
-A word is the average of the vectors of its character n-grams (`NGRAMS` long, with word ends marked) and of itself,
-all hashed into `BUCKETS` rows; a passage is the average of its words; a linear softmax reads that average. Vectors and
-softmax are fitted together by Adam on the mean log loss. A long text is toxic by a few words, so the label of a
-document goes to its most suspect passage of `PASSAGE` words: training starts from whole documents and then moves, every
-few steps, to the passage that scores highest so far, for toxic and clean documents alike. A misspelling that no text
-of the sample holds still shares n-grams with the words it stands for.
+A word is the average of the vectors of its character n-grams (`NGRAMS` long, with word ends marked) and of itself, all
+hashed into `BUCKETS` rows; a text is the average of its words and of `NEUTRAL` words that say nothing, so that a few
+words don't tell more than a long text; a linear softmax reads that average. Rows count by smooth inverse frequency,
+`RARE` / (`RARE` + the row's share of the sample), as else the commonest words would make up the average, and less where
+few texts of the sample hold them, n^2 / (n^2 + `FEW`^2), as else chance finds of one text would count. Vectors and
+softmax are fitted together by Adam on the mean log loss, with both classes weighing the same. A misspelling that no
+text of the sample holds still shares n-grams with the words it stands for.
 
-Scoring takes whole texts: the score is the softmax's probability for the highest-scoring passage. As both layers are
-linear, an n-gram's vector and the softmax fold into one number for scoring, and a word's number is kept for later use
-on the same worker.
+Scoring takes whole texts. As averages and softmax are linear, an n-gram's vector, its weight and the softmax fold into
+one number for scoring.
 
 The model is fitted on the driver on at most `SAMPLE` labelled documents, half of them toxic where there are as many,
 chosen by a hash of doc_id from those whose crc32(doc_id as text) mod 5 isn't 0; that bound is a parameter. `FOLDS`
 models are fitted, each without a fold of the sample, and their mean is used; the scores of both classes by the model
-that wasn't fitted on them set the bias (see threshold). Where these scores don't tell the classes apart, as with few
-examples, the bias is above all of them. Everything else covers all rows. Labels, lang, source and doc_id are no inputs
-of a score.
-
-Null and empty texts score as a passage without words does. Without labelled rows of both classes every score is 0.
-Repeated rows get the same score; rows with a null doc_id are held out (their crc32 is that of the text "null");
-other columns are not read.
+that wasn't fitted on them set the bias (see threshold). Where these scores don't tell the classes apart, as with very
+few examples, the bias is above all of them. Everything else covers all rows. Labels, lang, source and doc_id are no
+inputs of a score.
+
+Null and empty texts score as an average of nothing does; very long texts take memory in proportion to one text. Without
+labelled rows of both classes every score is 0. Repeated rows get the same score, ties are equal scores; of sampled rows
+that share a doc_id the greatest text is fitted on, so repeats don't grow the sample. Rows with a null doc_id are
+treated as if the id were the text "null" (not held out). An empty table gives an empty result; other columns are not
+read, and those that `score` keeps clash with none of its own.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,130 +36,130 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flaglens.llm.store import columns_ddl, fresh
-from flaglens.llm.worker import hold
+from flaglens.llm.words import Words, by_chars, subwords
 from flaglens.session import ship
 
 NGRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 8
-PASSAGE = 1
-STRIDE = 1
+NEUTRAL = 50
+RARE, FEW = 3e-5, 10
 SAMPLE = 3000
-FOLDS = 5
-#: Steps of training; so many of them on whole documents; the most suspect and the random passages of each clean document.
-STEPS, WHOLE, HARD, RANDOM = 120, 10, 4, 6
-#: Words longer than this are scored but not remembered, and a worker forgets all words beyond this many.
-LONG_WORD, REMEMBERED = 64, 1_000_000
-#: Words have a letter; numbers alone say nothing.
-WORD = re.compile(r"\d*_*[^\W\d_]\w*")
+FOLDS = 4
+STEPS = 100
+#: Characters of the texts whose n-grams are held at once.
+CHARS = 400_000
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % 5 == 0
 
 
-def subwords(word: str) -> list[int]:
-    """Rows of a word: itself and its n-grams."""
-    marked = f"<{word}>"
-    mask = BUCKETS - 1
-    rows = [zlib.crc32(marked.encode("utf-8", "surrogatepass")) & mask]
-    for n in NGRAMS:
-        rows += [zlib.crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) & mask for i in range(len(marked) - n + 1)]
-    return rows
-
-
-def passages(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the passages of n words: every STRIDE words, and at least one."""
-    starts = np.arange(0, max(1, n - PASSAGE + STRIDE), STRIDE)
-    return starts, np.minimum(starts + PASSAGE, n)
+def _shares(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, row, share): how much of each text's average its n-grams make up, each once for a text."""
+    words = Words(texts, with_letter=True)
+    row, word = subwords(words, NGRAMS, BUCKETS)
+    of = np.bincount(word, minlength=len(words.text)) * (words.sizes[words.text] + NEUTRAL)
+    key, at = np.unique(words.text[word] * BUCKETS + row, return_inverse=True)
+    return key // BUCKETS, (key % BUCKETS).astype(np.int32), np.bincount(at, 1 / of[word], len(key)).astype(np.float32)
+
+
+class Bags:
+    """Texts as rows of a sparse matrix of shares, by text and by n-gram row."""
+
+    def __init__(self, texts: list[str]):
+        parts = [(p.start, _shares(texts[p])) for p in by_chars(texts, CHARS)]
+        text = np.concatenate([at + t for at, (t, _, _) in parts]).astype(np.int32)
+        self.row, self.share = np.concatenate([r for _, (_, r, _) in parts]), np.concatenate([s for _, (_, _, s) in parts])
+        parts.clear()
+        self.n, self.texts, self.starts = len(texts), *_runs(text)
+        order = np.argsort(self.row, kind="stable").astype(np.int32)
+        self.text_of, self.rows, self.row_starts = text[order], *_runs(self.row[order])
+        self.share_of = self.share[order]
+        weight = np.zeros(BUCKETS)
+        weight[self.rows] = np.add.reduceat(self.share_of, self.row_starts) if len(self.rows) else 0
+        of = np.zeros(BUCKETS)
+        of[self.rows] = np.diff(self.row_starts, append=len(self.share_of))
+        self.weight = RARE / (RARE + weight / max(1, self.n)) * of**2 / (of**2 + FEW**2)
+
+    def averages(self, by_row: np.ndarray) -> np.ndarray:
+        """The weighted average of a number of each row over each text."""
+        out = np.zeros(self.n)
+        if len(self.texts):
+            out[self.texts] = np.add.reduceat(self.share * (by_row * self.weight).astype(np.float32)[self.row], self.starts)
+        return out
+
+    def back(self, by_text: np.ndarray) -> np.ndarray:
+        """The transpose: what each row gets from a number of each text."""
+        out = np.zeros(BUCKETS)
+        if len(self.rows):
+            out[self.rows] = np.add.reduceat(self.share_of * by_text.astype(np.float32)[self.text_of], self.row_starts)
+        return out * self.weight
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a sorted array and where each starts."""
+    starts = np.flatnonzero(np.diff(x, prepend=-1))
+    return x[starts], starts
 
 
 class _Adam:
     """Adam; `together`: with one scale for the whole array, so that what few documents ask for moves little."""
 
     def __init__(self, x: np.ndarray, rate: float, together: bool = False):
-        self.x, self.rate, self.together, self.m, self.v, self.t = x, rate, together, np.zeros_like(x), np.zeros_like(x), 0
+        self.x, self.rate, self.together, self.m, self.v, self.t = x, rate, together, np.zeros_like(x), 0.0, 0
 
     def step(self, g: np.ndarray) -> None:
         self.t += 1
         self.m += 0.1 * (g - self.m)
-        self.v += 0.01 * ((g * g).max() * 0.1 - self.v) if self.together else 0.01 * (g * g - self.v)
-        self.x -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
+        self.v = self.v + 0.01 * (((g * g).max() if self.together else g * g) - self.v)
+        self.x -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-12)
 
 
 class Model:
-    """`ngram`: what each row adds to the log odds; `bias`: the log odds of a passage without words."""
+    """`ngram`: what each row adds to the log odds; `bias`: the log odds of a text without words."""
 
     def __init__(self, ngram: np.ndarray, bias: float):
-        self.ngram, self.bias = ngram.tolist(), bias
+        self.ngram, self.bias = ngram, bias
 
-    def word(self, word: str) -> float:
-        rows = subwords(word)
-        return sum(map(self.ngram.__getitem__, rows)) / len(rows)
+    def odds(self, texts: list[str]) -> np.ndarray:
+        out = np.full(len(texts), self.bias)
+        for part in by_chars(texts, CHARS):
+            words = Words(texts[part], with_letter=True)
+            row, word = subwords(words, NGRAMS, BUCKETS)
+            n = len(words.text)
+            each = np.bincount(word, self.ngram[row], n) / np.bincount(word, minlength=n)
+            out[part] += np.bincount(words.text, each, part.stop - part.start) / (words.sizes + NEUTRAL)
+        return out
 
 
-def _suspects(doc: np.ndarray, odds: np.ndarray, k: int) -> list[np.ndarray]:
-    """The k passages of a document that score highest so far."""
-    a, b = passages(len(doc))
-    sums = np.concatenate([[0], np.cumsum(odds[doc])])
-    best = np.argsort(-(sums[b] - sums[a]) / np.maximum(b - a, 1), kind="stable")[:k]
-    return [doc[a[j] : b[j]] for j in best]
+def loss_and_gradients(bags: Bags, y: np.ndarray, weight: np.ndarray, vectors: np.ndarray, soft: np.ndarray, bias: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """The weighted log loss and what it changes by with the vectors, the softmax and its bias.
 
-
-def fit(texts: list[str], labels: list[int], seed: int = 3) -> Model | None:
-    """None if there aren't two classes."""
-    y = np.array(labels, dtype=np.float64)
-    if len(set(labels)) < 2:
+    With two classes only the difference of the softmax's columns counts, so texts' averages are taken of one number a row.
+    """
+    apart = soft[:, 1] - soft[:, 0]
+    z = bags.averages(vectors @ apart) + bias[1] - bias[0]
+    loss = float((weight * np.logaddexp(0, np.where(y == 1, -z, z))).sum())
+    d = (1 / (1 + np.exp(-z)) - y) * weight
+    rows = bags.back(d)
+    toward = vectors.T @ rows
+    return loss, np.outer(rows, apart), np.stack([-toward, toward], 1), np.array([-d.sum(), d.sum()])
+
+
+def fit(bags: Bags, y: np.ndarray, use: np.ndarray, seed: int = 3) -> Model | None:
+    """Fitted on the texts that `use` marks; None if these aren't of two classes."""
+    n = [int((use & (y == k)).sum()) for k in (0, 1)]
+    if not all(n):
         return None
-    index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in WORD.findall(t.lower())], dtype=np.int32) for t in texts]
-    grams_of, sizes_of = array("i"), array("i")  # plain arrays: lists of numbers would take the driver's memory
-    for w in index or [""]:
-        rows = subwords(w)
-        grams_of.extend(rows)
-        sizes_of.append(len(rows))
-    flat, sizes = np.frombuffer(grams_of, dtype=np.int32), np.frombuffer(sizes_of, dtype=np.int32).astype(np.int64)
-    index.clear()
-    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    rng = np.random.default_rng(seed)
-    vectors, soft = rng.normal(0, 0.02, (BUCKETS, DIM)), np.zeros((DIM, 2))
-    soft[0], bias = (-0.5, 0.5), np.zeros(2)
-    adams = [_Adam(vectors, 0.15, together=True), _Adam(soft, 0.03), _Adam(bias, 0.03)]
-    toxic = np.flatnonzero(y == 1)
-    clean = np.flatnonzero(y == 0)
-    now, target, weight = docs, y, np.where(y == 1, 0.5 / len(toxic), 0.5 / len(clean))
-    for step in range(STEPS):
-        if step >= WHOLE and step % 5 == 0:
-            odds = np.add.reduceat((vectors @ (soft[:, 1] - soft[:, 0]))[flat], starts) / sizes
-            now = [p for i in toxic for p in _suspects(docs[i], odds, 1)]
-            # No passage of a clean document is toxic, so its highest-scoring ones serve besides random ones.
-            for i in clean:
-                a, b = passages(len(docs[i]))
-                now += _suspects(docs[i], odds, HARD) + [docs[i][a[j] : b[j]] for j in rng.integers(0, len(a), RANDOM)]
-            target = np.concatenate([np.ones(len(toxic)), np.zeros(len(now) - len(toxic))])
-            weight = np.concatenate([np.full(len(toxic), 0.5 / len(toxic)), np.full(len(now) - len(toxic), 0.5 / (len(now) - len(toxic)))])
-        used, at = np.unique(np.concatenate(now), return_inverse=True)
-        doc = np.repeat(np.arange(len(now)), [len(d) for d in now])
-        length = np.maximum(1, [len(d) for d in now])
-        place = np.full(len(sizes), -1, dtype=np.int32)
-        place[used] = np.arange(len(used), dtype=np.int32)
-        word = place[owner]
-        grams, word = flat[word >= 0], word[word >= 0]
-        count = sizes[used][:, None]
-        means = np.stack([np.bincount(word, vectors[grams, j], len(used)) for j in range(DIM)], 1) / count
-        x = np.stack([np.bincount(doc, means[at, j], len(now)) for j in range(DIM)], 1) / length[:, None]
-        z = x @ soft + bias
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        g = (p - np.stack([1 - target, target], 1)) * weight[:, None]
-        dx = (g @ soft.T) / length[:, None]
-        dmeans = np.stack([np.bincount(at, dx[doc, j], len(used)) for j in range(DIM)], 1) / count
-        dvectors = np.stack([np.bincount(grams, dmeans[word, j], BUCKETS) for j in range(DIM)], 1)
-        adams[1].step(x.T @ g + 1e-4 * soft)
-        adams[2].step(g.sum(0))
-        adams[0].step(dvectors)
-    return Model(vectors @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]))
+    weight = np.where(use, np.where(y == 1, 0.5 / n[1], 0.5 / n[0]), 0.0)
+    vectors, soft, bias = np.random.default_rng(seed).normal(0, 0.02, (BUCKETS, DIM)), np.zeros((DIM, 2)), np.zeros(2)
+    soft[0] = -0.5, 0.5
+    adams = [_Adam(vectors, 1.0, together=True), _Adam(soft, 0.03), _Adam(bias, 0.03)]
+    for _ in range(STEPS):
+        for adam, g in zip(adams, loss_and_gradients(bags, y, weight, vectors, soft, bias)[1:], strict=True):
+            adam.step(g)
+    return Model((vectors @ (soft[:, 1] - soft[:, 0])) * bags.weight, float(bias[1] - bias[0]))
 
 
 def threshold(odds: np.ndarray, toxic: np.ndarray) -> float:
@@ -183,25 +182,25 @@ def threshold(odds: np.ndarray, toxic: np.ndarray) -> float:
 def cross_fit(ids: list[int], texts: list[str], toxic: list[int]) -> Model | None:
     """The mean of the models of all folds, with the bias set; None if no fold has two classes to be fitted on."""
     fold, y = np.array([zlib.crc32(f"aside:{i}".encode()) % FOLDS for i in ids]), np.array(toxic)
-    odds, ngram, biases = np.full(len(ids), np.nan), np.zeros(BUCKETS), []
+    if len(set(toxic)) < 2:
+        return None
+    bags, models = Bags(texts), []
+    odds = np.full(len(ids), np.nan)
     for k in range(FOLDS):
-        own = np.flatnonzero(fold != k)
-        model = fit([texts[i] for i in own], y[own].tolist())
+        model = fit(bags, y, fold != k)
         if model is not None:
-            known: dict[str, float] = {}
-            for i in np.flatnonzero(fold == k):
-                odds[i] = _odds(texts[i], model, known)
-            ngram += model.ngram
-            biases.append(model.bias)
-    if not biases:
+            models.append(model)
+            aside = np.flatnonzero(fold == k)
+            odds[aside] = model.odds([texts[i] for i in aside])
+    if not models:
         return None
     scored = ~np.isnan(odds)
     cut = threshold(odds[scored], y[scored]) if scored.any() else 0.0
-    return Model(ngram / len(biases), sum(biases) / len(biases) - cut)
+    return Model(np.mean([m.ngram for m in models], axis=0), float(np.mean([m.bias for m in models])) - cut)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on a bounded sample of the labelled documents that aren't held out."""
+    """Fit on a bounded sample of the labelled documents that aren't held out: a row for each doc_id."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id IS NOT NULL AND _toxic IN (0, 1)")
     known = known.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     order = F.xxhash64(F.col("_id"), F.lit(11))
@@ -209,34 +208,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     for label in (0, 1):
         part = known.where(F.col("_toxic") == label).orderBy(order, "_id").limit(SAMPLE // 2)
         sample = part if sample is None else sample.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("_id", "text", "_toxic").collect()
-    rows.sort(key=lambda r: (r["_id"], r["text"] or ""))
-    texts, toxic = [r["text"] or "" for r in rows], [r["_toxic"] for r in rows]
-    return cross_fit([r["_id"] for r in rows], texts, toxic)
-
-
-_words: dict[str, float] = {}
-_words_of: list = [None]
-
-
-def _odds(text: str, model: Model, known: dict[str, float]) -> float:
-    words = WORD.findall(text.lower())
-    if not words:
-        return model.bias
-    try:
-        each = np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words))
-    except KeyError:
-        if len(known) > REMEMBERED:
-            known.clear()
-        fresh = {}
-        for w in words:
-            if w not in known and w not in fresh:
-                fresh[w] = model.word(w)
-        known.update((w, v) for w, v in fresh.items() if len(w) <= LONG_WORD)
-        each = np.array([fresh[w] if w in fresh else known[w] for w in words])
-    a, b = passages(len(words))
-    sums = np.concatenate([[0.0], np.cumsum(each)])
-    return float(((sums[b] - sums[a]) / np.maximum(b - a, 1)).max()) + model.bias
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    rows = found.groupBy("_id", "_toxic").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")).collect()  # at most SAMPLE
+    rows.sort(key=lambda r: r["_id"])
+    return cross_fit([r["_id"] for r in rows], [r["text"] for r in rows], [r["_toxic"] for r in rows])
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
@@ -244,16 +219,11 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, keep: list[
     names = [fresh("score", keep), fresh("predicted", keep)]
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias(names[0]), F.lit(0).alias(names[1]))
-    shared = ship(spark).sparkContext.broadcast(model)
-    name = uuid.uuid4().hex  # of this model, so that a worker forgets words of another one
+    shared = ship(spark).sparkContext.broadcast(model)  # BUCKETS doubles, 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("toxicity", _words.clear)
-        if _words_of[0] != name:
-            _words.clear()
-            _words_of[0] = name
         for b in batches:
-            z = np.array([_odds(t or "", shared.value, _words) for t in b.column(b.num_columns - 1).to_pylist()], dtype=np.float64)
+            z = shared.value.odds([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*b.schema.names[:-1], *names])
 

@@ -72,3 +72,41 @@ class Words:
         longest = 1 << int(n.max()).bit_length()
         terms = (chars * _u(0x9E3779B97F4A7C15) ^ (chars << _u(29)) ^ _u(0x5851F42D4C957F2D)) * _powers(max(64, longest))[at]
         return mix(np.add.reduceat(terms, stop - n) ^ mix(n.astype(np.uint64)))
+
+
+def subwords(words: Words, sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, word): for every word its own hash and those of its character n-grams of these sizes, with its ends marked,
+    as rows below `buckets`, a power of two; word by word for each size."""
+    n, mask = words.end - words.first, buckets - 1
+    if not len(n):
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+    rows, owners = [(words.hashes() & _u(mask)).astype(np.int32)], [np.arange(len(n), dtype=np.int32)]
+    marked = n + 2
+    stop = np.cumsum(marked)
+    start = stop - marked
+    word = np.repeat(owners[0], marked)
+    at = np.arange(int(stop[-1])) - np.repeat(start, marked)
+    left = np.repeat(marked, marked) - at  # characters from here to the word's end
+    chars = words.codes[np.maximum(at + np.repeat(words.first - 1, marked), 0)].astype(np.uint32)
+    chars[start], chars[stop - 1] = 1, 2  # control characters: no word has them
+    chars = chars * np.uint32(0x9E3779B1)
+    h = chars
+    for k in range(1, max(sizes)):
+        h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + chars[k:]
+        if k + 1 in sizes:
+            ok = left[: len(h)] > k
+            g = h[ok]
+            g = (g ^ (g >> np.uint32(16))) * np.uint32(0xC2B2AE35) + np.uint32(k)
+            rows.append(((g ^ (g >> np.uint32(13))) & np.uint32(mask)).astype(np.int32))
+            owners.append(word[: len(h)][ok])
+    return np.concatenate(rows), np.concatenate(owners)
+
+
+def by_chars(texts: list[str | None], chars: int = BATCH_CHARS):
+    """Slices of the texts of about so many characters."""
+    low = size = 0
+    for high, text in enumerate(texts, 1):
+        size += len(text or "")
+        if size >= chars or high == len(texts):
+            yield slice(low, high)
+            low, size = high, 0

@@ -239,7 +239,7 @@ def test_toxicity_threshold_looks_at_both_classes(spark):
     df = docs(spark, [(i, t, "s") for i, t in texts.items()])
     model = toxicity.train(df, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
     aside = [i for i in texts if zlib.crc32(str(i).encode()) % 5 == 0]
-    got = {i: toxicity._odds(texts[i], model, {}) >= 0 for i in aside}
+    got = dict(zip(aside, model.odds([texts[i] for i in aside]) >= 0, strict=True))
     assert np.mean([got[i] for i in aside if labels[i]]) > 0.9 and np.mean([got[i] for i in aside if not labels[i]]) < 0.1
 
 
@@ -252,6 +252,28 @@ def test_toxicity_threshold():
     assert toxicity.threshold(np.array([0.5, 2.0]), np.array([0, 0])) > 2
 
 
+def test_toxicity_gradients():
+    """The gradients agree with finite differences, and averages with a plain sum over words and n-grams."""
+    r = random.Random(4)
+    texts = [prose(r, n) for n in (3, 12, 0, 30, 7)] + ["12 34 _", "Ünïté a1b_2 x"]
+    bags, y, weight = toxicity.Bags(texts), np.array([0, 1, 0, 1, 1, 0, 0]), np.array([0.2, 0.1, 0.1, 0.3, 0.1, 0.1, 0.1])
+    rng = np.random.default_rng(1)
+    x = [rng.normal(0, 1, (toxicity.BUCKETS, toxicity.DIM)), rng.normal(0, 1, (toxicity.DIM, 2)), rng.normal(0, 1, 2)]
+    loss, *gradients = toxicity.loss_and_gradients(bags, y, weight, *x)
+    for array, g in zip(x, gradients, strict=True):
+        step = rng.normal(0, 1, array.shape)
+        change = []
+        for by in (1e-3, -1e-3):
+            array += by * step
+            change.append(toxicity.loss_and_gradients(bags, y, weight, *x)[0])
+            array -= by * step
+        assert abs((change[0] - change[1]) / 2e-3 - (g * step).sum()) < 1e-3 * max(1, abs((g * step).sum()))
+    per_row, model = rng.normal(0, 1, toxicity.BUCKETS), None
+    model = toxicity.Model(per_row * bags.weight, 0.0)
+    assert np.abs(model.odds(texts) - bags.averages(per_row)).max() < 1e-4
+    assert model.odds(["", "12 34 _"]).tolist() == [0, 0]
+
+
 PAGE = '<html><head><title>t</title></head><body><nav><a href="/x">menu</a></nav><div class="x1">{note}</div><article><h1>T &amp; t</h1><p><b>One<br>two.<br><p>Three &lt;x&gt;</p><div class="ad">buy</div></article><footer>f</footer>'
 
 
@@ -299,6 +321,8 @@ def test_stages_keep_the_columns(spark, tmp_path, name):
     import corpus_pipeline
 
     df = docs(spark, [(i, prose(random.Random(i), 30), "s") for i in range(10)])
+    for clash in ("score", "predicted", "matches", "row", "times", "gone", "twice", "_gone", "_twice", "_source", "_place", "s", "id", "label", "place"):
+        df = df.withColumn(clash, F.lit(1))
     spark.createDataFrame([(1, "some item text")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     stage = dict(corpus_pipeline.STAGES)[name]
