@@ -3,12 +3,14 @@
 A byte-level pre-tokenizer starts a new pre-token at every single space or line feed that stands between two other
 characters, and merges never cross pre-tokens. So where all white space of a text is of that kind, its ids are those of
 its pieces (a space or line feed and what follows it up to the next one) in a row, and the library encodes each distinct
-piece once, many pieces in one call. Any other text goes to the library as a whole.
+piece once, many pieces in one call. Any other text goes to the library as a whole, and so does one that holds an added
+token, such as "<|endoftext|>", which the library takes out of a text before it cuts pre-tokens.
 """
 
 from __future__ import annotations
 
-from itertools import chain
+import os
+import re
 
 import numpy as np
 
@@ -23,24 +25,29 @@ def single_spaced(text: str) -> bool:
 
 
 class PieceEncoder:
-    """encode(texts) gives the ids of each as bytes of `dtype`, little-endian. About `remembered` pieces are kept at most."""
+    """encode(texts) gives the ids of each as bytes of `dtype`, little-endian. Up to 2 * `remembered` pieces are kept: those
+    met lately and those met before them, which go when as many new ones have come."""
 
-    def __init__(self, path: str, remembered: int = 1_500_000):
+    def __init__(self, path: str, remembered: int = 300_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.remembered, self.known = remembered, {}
+        self.remembered, self.known, self.before = remembered, {}, {}
         self.starts = np.zeros(size, dtype=bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.starts[i] = token.startswith("Ġ")  # the byte-level alphabet's sign for a space
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")  # a text with one of these is encoded whole
         self.feed = self._ids("\n")
-        self.fits = len(self.feed) == 1 and self._ids("\na b").tolist() == [*self.feed.tolist(), *self._ids("a").tolist(), *self._ids(" b").tolist()]
+        whole = [*self.feed.tolist(), *self._ids("a").tolist(), *self._ids(" b").tolist()]
+        self.fits = len(self.feed) == 1 and self._ids("\na b").tolist() == whole and not any(re.search(r"\s", t) for t in added)
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+        # The call for batches is the one that leaves out offsets.
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces that begin with a line feed, and others as after a space."""
@@ -55,33 +62,37 @@ class PieceEncoder:
                 else:
                     self.known.update((p, self._ids(p if mark == "\n" else " " + p).tobytes()) for p in group)
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """The pieces of a text as after a line feed, whose one id is cut off again; None where it must stay whole."""
-        if not self.fits or not single_spaced(text):
-            return None
-        pieces = f"\n{text}".replace("\n", " \n").split(" ")
-        del pieces[0]
-        return pieces
+    def _know(self, pieces: set[str]) -> None:
+        """Have these pieces, none of which was met lately, among the known ones."""
+        if len(self.known) > self.remembered:
+            self.known, self.before = {}, self.known
+        self.known.update((p, self.before[p]) for p in pieces if p in self.before)
+        self._learn([p for p in pieces if p not in self.before])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._pieces(t) for t in texts]
-        every = set(chain.from_iterable(p for p in split if p))
-        fresh = every.difference(self.known)
-        if fresh:
-            if len(self.known) > self.remembered:
-                self.known.clear()
-                fresh = every
-            self._learn(list(fresh))
-        get, cut = self.known.__getitem__, self.dtype.itemsize
-        return [b"".join(map(get, p))[cut:] if p else self._ids(t).tobytes() for t, p in zip(texts, split, strict=True)]
+    def _splits(self, text: str) -> bool:
+        """Whether the ids of the text are those of its pieces."""
+        return self.fits and single_spaced(text) and not self.added.search(text)
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut, get = self.dtype.itemsize, self.known.get
+        # The pieces of a text as after a line feed, whose one id is cut off again.
+        split = [f"\n{t}".replace("\n", " \n").split(" ")[1:] if self._splits(t) else None for t in texts]
+        found = [list(map(get, pieces)) if pieces else None for pieces in split]
+        new = {p for pieces, ids in zip(split, found, strict=True) if ids and None in ids for p, x in zip(pieces, ids, strict=True) if x is None}
+        if new:
+            self._know(new)
+            get = self.known.get
+            for pieces, ids in zip(split, found, strict=True):
+                if ids and None in ids:
+                    ids[:] = [get(p) if x is None else x for p, x in zip(pieces, ids, strict=True)]
+        return [b"".join(x)[cut:] if x else self._ids(t).tobytes() for t, x in zip(texts, found, strict=True)]
 
     def unit_counts(self, parts: list[str]) -> np.ndarray:
         """The number of ids of each of the parts of a text, cut before single spaces and line feeds."""
         if not parts:
             return np.zeros(0, dtype=np.int64)
         bare = parts[0][0] not in " \n"
-        if self.fits and single_spaced(("" if bare else "x") + "".join(parts)):
+        if self._splits(("" if bare else "x") + "".join(parts)):
             keys = [p[1:] if p[0] == " " else p for p in parts]
             keys[0] = f"\n{parts[0]}" if bare else keys[0]
             counts = self._known_counts(keys)
@@ -90,13 +101,12 @@ class PieceEncoder:
         return np.array([len(self._ids(p)) for p in parts], dtype=np.int64)
 
     def _known_counts(self, keys: list[str]) -> np.ndarray:
-        fresh = set(keys).difference(self.known)
-        if fresh:
-            if len(self.known) > self.remembered:
-                self.known.clear()
-                fresh = set(keys)
-            self._learn(list(fresh))
-        return np.fromiter(map(len, map(self.known.__getitem__, keys)), dtype=np.int64, count=len(keys)) // self.dtype.itemsize
+        ids = list(map(self.known.get, keys))
+        if None in ids:
+            self._know({p for p, x in zip(keys, ids, strict=True) if x is None})
+            get = self.known.get
+            ids = [get(p) if x is None else x for p, x in zip(keys, ids, strict=True)]
+        return np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.dtype.itemsize
 
 
 _encoders: dict[str, PieceEncoder] = {}

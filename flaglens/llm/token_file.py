@@ -16,7 +16,7 @@ vocabulary or a part, are all that reaches the driver. Reading unpacks by table
 checkpoints of a block together.
 
 Null and empty texts hold the end id alone. Rows with a null doc_id come first; rows that share a doc_id are ordered by
-their ids. An empty table gives a file without blocks and an empty result. Other columns are not read.
+a hash of their ids, then by these, and may lie in several parts. A text and its ids are held whole in memory. An empty table gives a file without blocks and an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ BLOCK, EVERY = 1 << 16, 128
 TEXTS = 64
 #: Documents whose ids are counted together.
 COUNTED = 256
+#: Tasks that add up the vectors of all others.
+MERGERS = 8
 #: Blocks whose lanes are decoded together.
 TOGETHER = 8
 BLOCKS = "part int, block int, offset long, doc_ids array<long>, doc_tokens array<int>, payload binary, checkpoints binary"
@@ -82,24 +84,29 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None,
 
 
 def count_ids(ids: DataFrame, width: int) -> np.ndarray:
-    """How often each id occurs in all documents: partial sums by task, one row for an id at last."""
+    """How often each id occurs in all documents: a vector for each task, added up by groups of tasks, then on the driver."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(vectors: Iterator[np.ndarray]) -> np.ndarray:
         total = np.zeros(1, dtype=np.int64)
-        for b in batches:
-            for i in range(0, b.num_rows, COUNTED):
-                seen = np.bincount(np.concatenate([_unsqueeze(x.as_py(), width) for x in b.column(0).slice(i, COUNTED)]))
-                if len(seen) > len(total):
-                    total = np.concatenate([total, np.zeros(len(seen) - len(total), dtype=np.int64)])
-                total[: len(seen)] += seen
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
+        for seen in vectors:
+            if len(seen) > len(total):
+                total = np.concatenate([total, np.zeros(len(seen) - len(total), dtype=np.int64)])
+            total[: len(seen)] += seen
+        return total
+
+    def one(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (b.column(0).slice(i, COUNTED) for b in batches for i in range(0, b.num_rows, COUNTED))
+        yield one(of(np.bincount(np.concatenate([_unsqueeze(x.as_py(), width) for x in p])) for p in parts))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield one(of(np.frombuffer(x.as_py(), dtype=np.int64) for b in batches for x in b.column(0)))
 
-    rows = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(max((r["id"] for r in rows), default=0) + 1, dtype=np.int64)
-    for r in rows:
-        counts[r["id"]] = r["n"]
-    return counts
+    tasks = ids.select("ids").mapInArrow(count, "counts binary")
+    merged = tasks.repartition(MERGERS).mapInArrow(add, "counts binary").collect()  # a vector of the vocabulary each
+    return of(np.frombuffer(bytes(r["counts"]), dtype=np.int64) for r in merged)
 
 
 def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID) -> None:
@@ -132,8 +139,10 @@ def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str | Non
         if held:
             yield close()
 
-    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(pack, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    # Rows of one doc_id can go to several parts; equal rows are in any order.
+    keyed = ids.select("doc_id", "ids", F.xxhash64("ids").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ordered = keyed.repartitionByRange("doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "ids")
+    ordered.select("doc_id", "ids").mapInArrow(pack, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     work.drop(ids)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     tokens = F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x)

@@ -20,16 +20,33 @@ def own():
     return PieceEncoder(token_file.vocabulary_path())
 
 
+_plain = None
+
+
 def whole(own, text):
-    return own.tokenizer.encode(text, add_special_tokens=False).ids
+    """By a tokenizer of its own, as the file has it."""
+    from tokenizers import Tokenizer
+
+    global _plain
+    _plain = _plain or Tokenizer.from_file(token_file.vocabulary_path())
+    return _plain.encode(text, add_special_tokens=False).ids
 
 
 def test_pieces_encode_as_whole_texts(own):
     r = random.Random(1)
-    texts = ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 60))) for _ in range(400)] + ["a  b\tc", "<|endoftext|> a", "x" * 3000 + " y", ""]
+    texts = ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 60))) for _ in range(400)] + ["a  b\tc", "<|endoftext|> a", "a<|endoftext|>b c", "see <|endoftext|>\nx y", "x" * 3000 + " y", ""]
     assert [np.frombuffer(b, dtype=own.dtype).tolist() for b in own.encode(texts)] == [whole(own, t) for t in texts]
 
 
+def test_forgotten_pieces_encode_again():
+    own = PieceEncoder(token_file.vocabulary_path(), remembered=20)
+    r = random.Random(2)
+    for _ in range(60):
+        texts = [" ".join("".join(r.choice("abcde") for _ in range(r.randint(1, 3))) for _ in range(30)) for _ in range(3)]
+        assert [np.frombuffer(b, dtype=own.dtype).tolist() for b in own.encode(texts)] == [whole(own, t) for t in texts]
+        assert len(own.known) + len(own.before) < 400
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=300), st.integers(10, 14))
 def test_code_lengths(counts, limit):
