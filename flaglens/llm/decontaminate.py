@@ -1,24 +1,27 @@
 """Benchmark decontamination: every training passage queries a BM25 index of the test items.
 
 Index. An item is a document of an inverted index: postings of a term hold its BM25 impact on each item, divided by the
-item's score for its own text, so that one threshold, `THETA`, serves all items. Items are indexed in shards of at most
-`SHARD` items with statistics of their own; a shard, which is bounded, is sent to the executors, and every shard meets
-all documents. Items lie in blocks of `BLOCK`, and a term has the highest impact of each block.
+item's score for its own text, so that one threshold, `THETA`, serves all items. Numbers of items, their mean length and
+in how many of them a term occurs are those of the whole benchmark. Postings are held in shards of about `SHARD` items;
+a shard is sent to the executors, and every shard meets all documents. Items lie in blocks of `BLOCK`, and a term has its
+highest impact on each block where it occurs at all.
 
 Queries. A document's words are cut into stretches of S words and a passage is two stretches in a row, where S is the
 length of the longest item of its length class; so any S words in a row lie within a passage. All passages are queried
-by block-max WAND with that fixed threshold: a passage whose terms' highest impacts don't reach it together is passed
-over, then each block whose block maxima don't reach it; this pivot test is made for all passages and blocks of a batch
-at once in numpy, and only in blocks that pass it postings are read and items scored. So every item above the threshold
-is retrieved, for every passage.
+by block-max WAND with that fixed threshold, as all items above it are wanted. Which blocks are live, because the block
+maxima of a passage's terms add up to the threshold, is told for all passages of a batch at once in numpy. In a live
+block a cursor for each term moves over its postings: cursors are kept in order of their items, the pivot is the first at
+which the maxima of the lists so far reach the threshold, lists before it skip to the pivot's item, and only items that
+all lists up to the pivot stand on are scored. So every item above the threshold is retrieved, for every passage.
 
 Verification. An item's answer is its last sentence where that has some words and more come before it, its question the
 rest. A retrieved item is confirmed if, near the passage, at least `OVERLAP` of the question's shingles of five words
 and of the answer's words occur (each as often as in the item at most), or of all the item's shingles.
 
-Null and empty texts match nothing, items without a word are left out, items of fewer than five words are one shingle.
-Repeated rows are separate rows with the same matches; other columns pass through; an empty table of either kind gives
-no matches. Words are runs of letters, digits and underscores in lower case.
+Null and empty texts match nothing, items without a word are left out, items of fewer than five words are one shingle;
+a very long text takes memory in proportion to it. Matches with equal scores are ordered by item_id. Repeated rows are
+separate rows with the same matches; other columns pass through, whatever their names; an empty table of either kind
+gives no matches. Words are runs of letters, digits and underscores in lower case.
 """
 
 from __future__ import annotations
@@ -33,15 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flaglens.llm.store import columns_ddl, fresh
+from flaglens.llm.store import Workspace, columns_ddl, fresh
 from flaglens.session import ship
 
 K1, B = 1.2, 0.75
 THETA, OVERLAP, SHINGLE = 0.6, 0.8, 5
 SHARD, BLOCK = 4096, 8
 BATCH_WORDS = 150_000
-#: Entries of (pair of passage and term) * block that are held at once.
-CELLS = 4_000_000
+#: Blocks of the terms of passages, and sums of passages and blocks, that are held at once.
+CELLS = 1_000_000
 WORD = re.compile(r"\w+")
 MATCHES = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
 
@@ -66,30 +69,33 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 
 
 class LengthClass:
-    """The index of the items of a shard that are of similar length."""
+    """The postings of the items of a shard that are of similar length."""
 
-    def __init__(self, items: list[tuple[int | None, str]], df: Counter, n: int, mean: float):
+    def __init__(self, items: list[tuple[int | None, str]], df: dict[str, int], n: int, mean: float):
         self.ids = [i for i, _ in items]
         every = [words(t) for _, t in items]
         self.stretch = max(len(w) for w in every)
         self.parts = [question_and_answer(t) for _, t in items]
         self.whole = [_shingles(w) for w in every]
         vocabulary: dict[str, int] = {}
-        postings: dict[int, list[tuple[int, float]]] = {}
+        term, item, impact = [], [], []
         for at, w in enumerate(every):
-            impact = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in Counter(w).items()}
-            total = sum(impact.values())
-            for t, x in impact.items():
-                postings.setdefault(vocabulary.setdefault(t, len(vocabulary)), []).append((at, x / total))
-        self.vocabulary = vocabulary
-        self.blocks = -(-len(items) // BLOCK)
-        self.block_max = np.zeros((len(vocabulary), self.blocks), dtype=np.float32)
-        self.read: list[dict[int, list[tuple[int, float]]]] = [{} for _ in vocabulary]
-        for t, found in postings.items():
-            for at, x in found:
-                self.block_max[t, at // BLOCK] = max(self.block_max[t, at // BLOCK], x)
-                self.read[t].setdefault(at // BLOCK, []).append((at, x))
-        self.top = self.block_max.max(1)
+            own = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in Counter(w).items()}
+            total = sum(own.values())
+            for t, x in own.items():
+                term.append(vocabulary.setdefault(t, len(vocabulary)))
+                item.append(at)
+                impact.append(x / total)
+        self.vocabulary, self.blocks = vocabulary, -(-len(items) // BLOCK)
+        # Postings by term, then item; of these the highest impact of each term in each block.
+        order = np.lexsort((item, term))
+        term, self.items, self.impacts = np.array(term)[order], np.array(item)[order], np.array(impact)[order]
+        starts = np.flatnonzero(np.diff(term * self.blocks + self.items // BLOCK, prepend=-1))
+        self.posting = np.append(starts, len(term))  # where the postings of a term in a block start
+        self.block = self.items[starts] // BLOCK
+        self.block_max = np.maximum.reduceat(self.impacts, starts)
+        self.first = np.searchsorted(term[starts], np.arange(len(vocabulary) + 1))  # a term's first block
+        self.top = np.maximum.reduceat(self.block_max, self.first[:-1])
 
     def retrieve(self, docs: list[list[str]]) -> Iterator[tuple[int, int, int, float]]:
         """(document, passage, item, score) of every item that a passage retrieves."""
@@ -109,30 +115,74 @@ class LengthClass:
         pairs = np.concatenate([(base[doc] + np.minimum(at, highest)) * v + term, (base[doc] + np.clip(at - 1, 0, highest)) * v + term])
         pairs = np.unique(pairs)
         passage, term = pairs // v, pairs % v
-        bound = np.bincount(passage, self.top[term])
-        good = bound[passage] >= THETA
+        good = np.bincount(passage, self.top[term])[passage] >= THETA
         passage, term = passage[good], term[good]
         if not len(passage):
             return
         starts = np.flatnonzero(np.diff(passage, prepend=-1))
         ends = np.append(starts[1:], len(passage))
-        step = max(1, CELLS // self.blocks)
+        spread = np.cumsum(self.first[term + 1] - self.first[term])  # blocks of all terms so far
         lo = 0
         while lo < len(starts):
-            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + step, side="right")))
-            sums = np.add.reduceat(self.block_max[term[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo], axis=0)
-            for i, block in zip(*np.nonzero(sums >= THETA - 1e-4), strict=True):
-                scores: dict[int, float] = {}
-                for t in term[starts[lo + i] : ends[lo + i]].tolist():
-                    for item, x in self.read[t].get(int(block), ()):
-                        scores[item] = scores.get(item, 0.0) + x
+            # As many passages as have CELLS blocks to add up, and sums to hold, at most; one passage at least.
+            begun = spread[starts[lo] - 1] if starts[lo] else 0
+            hi = min(int(np.searchsorted(spread[ends - 1], begun + CELLS, side="right")), lo + CELLS // self.blocks)
+            hi = max(lo + 1, hi)
+            for i, block in self._live(passage[starts[lo] : ends[hi - 1]], term[starts[lo] : ends[hi - 1]], starts[lo:hi] - starts[lo]):
                 p = int(passage[starts[lo + i]])
                 d = int(np.searchsorted(base, p, side="right")) - 1
-                for item, score in scores.items():
-                    if score >= THETA:
-                        yield d, p - int(base[d]), item, score
+                for item, score in self._pivot(term[starts[lo + i] : ends[lo + i]], block):
+                    yield d, p - int(base[d]), item, score
             lo = hi
 
+    def _live(self, passage: np.ndarray, term: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(number of the passage, block) where block maxima reach the threshold; starts: where each passage's terms start."""
+        n = self.first[term + 1] - self.first[term]
+        stop = np.cumsum(n)
+        entry = np.arange(int(stop[-1])) + np.repeat(self.first[term] - (stop - n), n)
+        which = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(term)))
+        sums = np.bincount(np.repeat(which, n) * self.blocks + self.block[entry], self.block_max[entry], len(starts) * self.blocks)
+        for at in np.flatnonzero(sums >= THETA - 1e-9).tolist():
+            yield divmod(at, self.blocks)
+
+    def _pivot(self, terms: np.ndarray, block: int) -> Iterator[tuple[int, float]]:
+        """WAND within a block: (item, score) of its items that reach the threshold."""
+        cursors = []  # [item now, most that the list adds, place in the postings, its end]
+        for t in terms.tolist():
+            at = self.first[t] + np.searchsorted(self.block[self.first[t] : self.first[t + 1]], block)
+            if at < self.first[t + 1] and self.block[at] == block:
+                lo, hi = int(self.posting[at]), int(self.posting[at + 1])
+                cursors.append([int(self.items[lo]), float(self.block_max[at]), lo, hi])
+
+        def move(c: list, item: int) -> None:
+            """To the list's first posting of this item or a later one."""
+            while c[2] < c[3] and self.items[c[2]] < item:
+                c[2] += 1
+            c[0] = int(self.items[c[2]]) if c[2] < c[3] else -1
+
+        while cursors:
+            cursors.sort()
+            most, pivot = 0.0, None
+            for i, c in enumerate(cursors):
+                most += c[1]
+                if most >= THETA - 1e-9:
+                    pivot = i
+                    break
+            if pivot is None:
+                return
+            item = cursors[pivot][0]
+            if cursors[0][0] == item:
+                on = [c for c in cursors if c[0] == item]
+                score = float(sum(self.impacts[c[2]] for c in on))
+                if score >= THETA:
+                    yield item, score
+                for c in on:
+                    move(c, item + 1)
+            else:
+                for c in cursors[:pivot]:
+                    move(c, item)
+            cursors = [c for c in cursors if c[0] >= 0]
+
     def confirm(self, w: list[str], passage: int, item: int) -> tuple[float, float] | None:
         """The overlaps of an item's question and answer near a passage, if they confirm it."""
         near = w[max(0, (passage - 1) * self.stretch) : (passage + 3) * self.stretch]
@@ -141,17 +191,19 @@ class LengthClass:
         return (q, a) if q >= OVERLAP and a >= OVERLAP or _share(self.whole[item], there) >= OVERLAP else None
 
 
-def build(items: list[tuple[int | None, str]]) -> list[LengthClass]:
-    """The index of a shard, by classes of length that grow fourfold."""
+def build(items: list[tuple[int | None, str]], df: dict[str, int] | None = None, n: int = 0, mean: float = 0.0) -> list[LengthClass]:
+    """The index of a shard, by classes of length that grow fourfold; df, n and mean are those of all items, which are
+    these where not given."""
     items = [(i, t) for i, t in items if words(t)]
     if not items:
         return []
-    df = Counter(t for _, x in items for t in set(words(x)))
-    mean = sum(len(words(t)) for _, t in items) / len(items)
+    if df is None:
+        df, n = Counter(t for _, x in items for t in set(words(x))), len(items)
+        mean = sum(len(words(t)) for _, t in items) / n
     by: dict[int, list] = {}
     for i, t in items:
         by.setdefault(int(np.ceil(np.log(max(1, len(words(t)) / 16)) / np.log(4))), []).append((i, t))
-    return [LengthClass(x, df, len(items), mean) for _, x in sorted(by.items())]
+    return [LengthClass(x, df, n, mean) for _, x in sorted(by.items())]
 
 
 def matches(index: list[LengthClass], texts: list[str | None]) -> list[list[dict]]:
@@ -168,15 +220,34 @@ def matches(index: list[LengthClass], texts: list[str | None]) -> list[list[dict
     return [sorted((m for _, m in x.values()), key=lambda m: (-m["score"], m["item_id"] is None, m["item_id"])) for x in found]
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, term, length) of each distinct term of each item; a null term with the item's length once an item."""
+    for b in batches:
+        rows = [(shard, t, n) for shard, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in [words(text)] if w for t, n in [(None, len(w)), *((t, 0) for t in set(w))]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.int64()))], ["shard", "term", "length"])
+
+
 def flag(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, name: str) -> DataFrame:
     """docs with a column `name`, MATCHES, of confirmed items; one pass over docs for each shard of items."""
+    work = Workspace(ship(spark), "decontaminate")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     shards = -(-items.count() // SHARD)
     items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, shards))))
     out = docs.withColumn(name, F.array().cast(MATCHES))
+    if not shards:
+        return out
+    terms = items.select("shard", "text").mapInArrow(_terms, "shard long, term string, length long").groupBy("shard", "term").agg(F.count("*").alias("n"), F.sum("length").alias("length"))
+    terms = work.keep(terms, "terms")
+    df = terms.groupBy("term").agg(F.sum("n").alias("df"), F.sum("length").alias("length"))
+    of_shards = work.keep(terms.select("shard", "term").join(df.withColumnRenamed("term", "of"), F.col("term").eqNullSafe(F.col("of"))).select("shard", "term", "df", "length"), "df")
     for i in range(shards):
-        rows = items.where(F.col("shard") == i).orderBy("item_id", "text").collect()  # about SHARD items
-        out = _meet(ship(spark), out, spark.sparkContext.broadcast(build([(r["item_id"], r["text"]) for r in rows])), name)
+        # About SHARD items and their terms; the null term has the number and the length of all items.
+        known = {r["term"]: (r["df"], r["length"]) for r in of_shards.where(F.col("shard") == i).collect()}
+        n, length = known.pop(None, (0, 0))
+        rows = items.where(F.col("shard") == i).orderBy("item_id", "text").collect()
+        index = build([(r["item_id"], r["text"]) for r in rows], {t: k for t, (k, _) in known.items()}, n, length / max(1, n))
+        out = _meet(spark, out, spark.sparkContext.broadcast(index), name)
+    work.drop_all()
     return out
 
 

@@ -163,7 +163,7 @@ def test_decontamination(spark):
         elif i % 4 == 1:
             t = f"{t} {' '.join(items[i % 40][1].split()[: 6])} {prose(r, 20)}"
         rows.append((i, t, "s"))
-    rows += [(500, None, "s"), (501, "", "s"), (502, items[3][1] * 300, "s"), (0, rows[0][1], "s"), (503, "so a tiny item is", "s")]
+    rows += [(500, None, "s"), (501, "", "s"), (502, items[3][1] * 300, "s"), (0, rows[0][1], "s"), (503, "so a tiny item is", "s"), (504, "word " * 200000, "s")]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
     out = decontaminate.flag(spark, docs(spark, rows), bench, "m").select("doc_id", "m.item_id").collect()
     assert len(out) == len(rows)
@@ -176,6 +176,52 @@ def test_decontamination(spark):
     assert decontaminate.flag(spark, docs(spark, []), bench, "m").collect() == []
 
 
+def test_items_retrieved_are_those_of_bm25():
+    """Every item whose BM25 score, worked out plainly, reaches the threshold for a passage is retrieved with that score."""
+    import math
+
+    r = random.Random(6)
+    lexicon = prose(r, 150).split()
+    items = [(i, " ".join(r.choice(lexicon) for _ in range(r.randint(8, 60)))) for i in range(90)]
+    split = [(i, t.split()) for i, t in items]
+    n, mean = len(items), sum(len(w) for _, w in split) / len(items)
+    df = Counter(t for _, w in split for t in set(w))
+
+    def impacts(w):
+        return {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t, c in Counter(w).items()}
+
+    docs_ = [[r.choice(lexicon) for _ in range(r.randint(0, 200))] + (split[r.randrange(90)][1] if k % 2 else []) + [r.choice(lexicon) for _ in range(40)] for k in range(40)]
+    found = 0
+    for part in decontaminate.build(items):
+        got = {(d, p, part.ids[i]): s for d, p, i, s in part.retrieve(docs_)}
+        want, size = {}, part.stretch
+        for d, w in enumerate(docs_):
+            for p in range(max(1, -(-len(w) // size) - 1)):
+                there = set(w[p * size : (p + 2) * size])
+                for i in part.ids:
+                    own = impacts(split[i][1])
+                    score = sum(x for t, x in own.items() if t in there) / sum(own.values())
+                    if score >= decontaminate.THETA:
+                        want[d, p, i] = score
+        found += len(want)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert found > 20
+
+
+def test_statistics_are_those_of_all_items(spark, monkeypatch):
+    """Shards of the index give the scores of one index."""
+    r = random.Random(8)
+    lexicon = prose(r, 300).split()
+    items = [(i, " ".join(r.choice(lexicon) for _ in range(r.randint(8, 40)))) for i in range(60)]
+    rows = [(k, f"{prose(r, 30)} {items[k % 60][1]} {prose(r, 20)}", "s") for k in range(80)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(decontaminate.flag(spark, docs(spark, rows), bench, "m").select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*").collect())
+    monkeypatch.setattr(decontaminate, "SHARD", 16)
+    many = sorted(decontaminate.flag(spark, docs(spark, rows), bench, "m").select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*").collect())
+    assert len(one) >= 80 and [x[:2] for x in one] == [x[:2] for x in many]
+    assert all(abs(x["score"] - y["score"]) < 1e-9 for x, y in zip(one, many, strict=True))
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(0, 0.2, (600, 16))
