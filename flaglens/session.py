@@ -25,9 +25,17 @@ def build_session(app: str = "flaglens", master: str | None = None, shuffle_part
     )
 
 
+#: Bytes of a batch that goes to a Python worker, which holds it several times over; Spark's own 64 MB are kept only where asked for.
+BATCH_BYTES, SPARKS_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+BATCH = 4 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once for a context, so that Python functions of it load there."""
+    """Send this package to the executors, once for a context, so that Python functions of it load there; and keep the batches
+    that they get to BATCH bytes (a longer row is a batch of its own)."""
     context = spark.sparkContext
+    if not context.getConf().contains(BATCH_BYTES) and spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() == SPARKS_BYTES:
+        spark.conf.set(BATCH_BYTES, str(BATCH))
     if not getattr(context, "_flaglens_shipped", False):
         root = Path(__file__).resolve().parent
         archive = Path(tempfile.mkdtemp(prefix="flaglens-")) / "flaglens.zip"
