@@ -90,7 +90,9 @@ class LengthClass:
         # Postings by term, then item; of these the highest impact of each term in each block.
         order = np.lexsort((item, term))
         term, self.items, self.impacts = np.array(term)[order], np.array(item)[order], np.array(impact)[order]
-        starts = np.flatnonzero(np.diff(term * self.blocks + self.items // BLOCK, prepend=-1))
+        key = term * self.blocks + self.items // BLOCK
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        self.key = key[starts]
         self.posting = np.append(starts, len(term))  # where the postings of a term in a block start
         self.block = self.items[starts] // BLOCK
         self.block_max = np.maximum.reduceat(self.impacts, starts)
@@ -147,12 +149,11 @@ class LengthClass:
 
     def _pivot(self, terms: np.ndarray, block: int) -> Iterator[tuple[int, float]]:
         """WAND within a block: (item, score) of its items that reach the threshold."""
-        cursors = []  # [item now, most that the list adds, place in the postings, its end]
-        for t in terms.tolist():
-            at = self.first[t] + np.searchsorted(self.block[self.first[t] : self.first[t + 1]], block)
-            if at < self.first[t + 1] and self.block[at] == block:
-                lo, hi = int(self.posting[at]), int(self.posting[at + 1])
-                cursors.append([int(self.items[lo]), float(self.block_max[at]), lo, hi])
+        key = terms * self.blocks + block
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        at = at[self.key[at] == key]
+        # [item now, most that the list adds, place in the postings, its end]
+        cursors = [list(c) for c in zip(self.items[self.posting[at]].tolist(), self.block_max[at].tolist(), self.posting[at].tolist(), self.posting[at + 1].tolist(), strict=True)]
 
         def move(c: list, item: int) -> None:
             """To the list's first posting of this item or a later one."""
