@@ -320,27 +320,78 @@ def test_toxicity_gradients():
     assert model.odds(["", "12 34 _"]).tolist() == [0, 0]
 
 
-PAGE = '<html><head><title>t</title></head><body><nav><a href="/x">menu</a></nav><div class="x1">{note}</div><article><h1>T &amp; t</h1><p><b>One<br>two.<br><p>Three &lt;x&gt;</p><div class="ad">buy</div></article><footer>f</footer>'
+PAGE = '<html><head><title>t</title></head><body><nav><a href="/x">menu</a></nav><div class="x1">{note}</div><article><h1>T &amp; t {i}</h1><p><b>One<br>two.<br><p>Three &lt;x&gt;</p><div class="q7">buy {ad}</div></article><footer>f</footer>'
 
 
-def test_main_text(spark):
+def test_reading_pages():
     text = site_tree.main_text
-    assert text(PAGE.format(note="hi")) == "T & t\n\nOne two.\n\nThree <x>"
+    assert text(PAGE.format(note="", i=1, ad="")) == "T & t 1\n\nOne two.\n\nThree <x>\n\nbuy"
     assert text('<main><header class="post"><h1>A</h1></header><ul><li>a<li>b</ul><section class="comments"><p>no</p></section><script>var x = "<p>";</script><style>p</style><form>f</form></main>') == "A\n\na\n\nb"
+    assert text("<article>a<article>a comment</article></article><aside>b</aside><div role=navigation>c</div>") == "a"
     assert text(None) == text("") == text("<!-- never closed <p>x</p>") == ""
     assert text("a < b <p>c &amp") == "a < b\n\nc &"
     assert len(text("<div>" * 3000 + "x" + "<" * 50000)) > 0
+    assert text("<i>" * 100000 + "x" + "</b></p>" * 100000 + "y").replace("\n", "") == "xy"
+    assert text("<div><ul>" * 50000 + "<li>a<li>b") == "a\n\nb"
+
+
+def test_importance_by_brute_force(spark):
+    """Entropies of presentation and content, drawn towards those of all hosts, worked out plainly."""
+    import math
+
+    from flaglens.llm.store import Workspace
+
+    r = random.Random(12)
+    rows = []
+    for i in range(70):
+        parts = [f"<div class=a>{r.choice(('x', 'y', prose(r, 3)))}</div>", f"<div class=b>{''.join(f'<p>{prose(r, 2)}' for _ in range(r.randint(1, 4)))}</div>", f"<ul class=c>{''.join(f'<li><a href=/{r.randint(0, 3)}>n</a>' for _ in range(3))}</ul>"]
+        rows.append((i, f"http://h{min(3, r.randint(0, 6))}.net/{i}", "<body>" + "".join(p for p in parts if r.random() < 0.9)))
+    trees: dict = {}
+    for _, url, page in rows:
+        for node in site_tree.Reader(page).nodes[1:]:
+            if node.tag != "body" and node.features:
+                for site in (site_tree.host_of(url), None):
+                    trees.setdefault((site, node.path), []).append((tuple(node.children), set(node.features)))
+
+    def plain(seen):
+        m = len(seen)
+        if m == 1:
+            return 1.0
+        presentation = -sum(k / m * math.log(k / m, m) for k in Counter(c for c, _ in seen).values())
+        shared = Counter(f for _, fs in seen for f in fs)
+        content = sum(1 - math.log(k, m) for k in shared.values()) / len(shared)
+        kept = site_tree.GAMMA ** (sum(len(c) for c, _ in seen) / m)
+        return (1 - kept) * presentation + kept * content
+
+    k = site_tree.PAGES
+    want = {}
+    for (site, path), seen in trees.items():
+        if site is not None:
+            every = trees[None, path]
+            common = (len(every) * plain(every) + k) / (len(every) + k)
+            want[site, path] = (len(seen) * plain(seen) + k * common) / (len(seen) + k)
+    got = site_tree.importance(Workspace(spark, "t"), spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(x["host"], x["node"]) for x in got} == want.keys() and len(want) > 10
+    assert all(abs(x["importance"] - want[x["host"], x["node"]]) < 1e-9 for x in got)
+
+
+def test_main_text(spark):
+    import re
+
     r = random.Random(8)
     rows = [(i, f"https://h{i % 2}.org/{i}", f"<body><div class='top1'>same words {i % 3}</div><div class='body'><p>{prose(r, 30)}</p><p>{prose(r, 30)}</p></div><div class='end'>also here</div>") for i in range(120)]
+    # Classes that mean nothing; what they hold repeats, and the article doesn't.
+    rows += [(200 + i, f"http://u@h7.net:80/{i}", PAGE.format(note=f"note {i % 4}", i=i, ad=i % 2)) for i in range(40)]
+    rows += [(300 + i, f"http://h{10 + i}.net/", PAGE.format(note="note 1", i=i, ad=i % 2)) for i in range(4)]  # hosts of a page
     rows += [(500, None, None), (501, "https://h0.org/x", ""), (5, rows[5][1], rows[5][2])]
-    df = spark.createDataFrame([(*x, "c") for x in rows], "page_id long, url string, html string, low string")
+    df = spark.createDataFrame([(*x, "c", 1) for x in rows], "page_id long, url string, html string, low string, host int")
     got = site_tree.extract(spark, df).collect()
     assert len(got) == len(rows) and all(x["n_chars"] == len(x["text"]) for x in got)
     by = {x["page_id"]: x["text"] for x in got}
-    import re
-
     for i in range(120):
         assert by[i] == "\n\n".join(re.findall(r"<p>(.*?)</p>", rows[i][2]))
+    for i in [*range(200, 240), *range(300, 304)]:
+        assert by[i] == f"T & t {i % 100}\n\nOne two.\n\nThree <x>"
     assert by[500] == "" and site_tree.extract(spark, df.limit(0)).collect() == []
 
 
