@@ -38,7 +38,7 @@ def _value(tree, x: np.ndarray) -> np.ndarray:
 class Boosted:
     """`rounds` trees of `depth` levels, each fitted to the loss's gradient and curvature, shrunk by `rate`."""
 
-    def __init__(self, rounds: int = 24, depth: int = 3, rate: float = 0.4):
+    def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.4):
         self.rounds, self.depth, self.rate, self.trees, self.start = rounds, depth, rate, [], 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
