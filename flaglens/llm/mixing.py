@@ -2,19 +2,20 @@
 
 Every source has a weight and a size (words). The mix as a whole takes `share` times all words, divided by
 weight; a source is clamped at `max_epochs` times its size and its excess goes to the others by weight, until
-none is above its cap. The fill level is found in closed form: sources reach their cap in ascending order of
-cap / weight, so with caps and weights summed in that order a source is clamped exactly when its ratio is at
-most the level that would remain if everything before it were clamped.
+none is above its cap: each pour sums caps and weights of the sources that the level before clamps and of those that
+it doesn't, and the level that follows is higher, until no more are clamped. Sources are ranked by ranges of their
+names, so that none of this needs them in one task.
 
-A target is then met by whole repetitions of every document of the source plus a seeded choice of documents
-for the fraction: documents are ordered by a hash of seed and id, and the shortest prefix whose words come
-nearest to the fraction takes one more repetition. The prefix is found in two steps, sums of hash buckets
-first and rows of the one bucket that holds the boundary second, so no source is ever ordered as a whole.
+A target is then met by whole repetitions of every document of the source plus a seeded choice of rows for the
+fraction: rows are ordered by a hash of seed and doc_id, then size, then a hash of the text, and the prefix whose words
+come nearest to the fraction takes one more repetition. The prefix is found in three steps, sums of hash buckets
+first, then of the places in the one bucket that holds the boundary, then rows of the one place that does, so no source
+is ever ordered as a whole; rows that are equal in all of this are counted by parts of them, as any may be taken.
 
 Nulls and odd rows: a null or empty text has size 0 and takes 0; a null source is a source of its own, ordered
-last; a null doc_id hashes as the text "null"; repeated rows with one doc_id are separate rows that share a place
-in the order (the whole run of them is taken or left); an empty table gives an empty result. Other columns pass
-through `mix` under whatever name; `plan_documents` reads doc_id, text and source alone.
+last; a null doc_id hashes as the text "null"; repeated rows with one doc_id are separate rows, and as many of them are
+taken as come nearest to the target; a very long text counts as any other; an empty table gives an empty result. Other
+columns pass through `mix` under whatever name; `plan_documents` reads doc_id, text and source alone.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flaglens.llm.store import BROADCAST_ROWS, Workspace, fresh
+from flaglens.llm.store import BROADCAST_ROWS, Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -32,33 +33,38 @@ MAX_EPOCHS = 2
 SEED = "mix-1"
 #: Hex digits of the hash that name a bucket: 4096 buckets a source.
 BUCKET_DIGITS = 3
+#: Parts that equal rows are counted in.
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sized: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS) -> DataFrame:
-    """(source, source_size, weight, target), one row per source, from rows of (source, size).
-
-    The windows without a key run over one row per source, after the sums.
-    """
+def source_targets(work: Workspace, sized: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS) -> DataFrame:
+    """(source, source_size, weight, target), one row per source, from rows of (source, size)."""
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))
+    by_name = F.col("source").asc_nulls_last()
+    # The id that counts rows has the partition above its 33rd bit and the row's place in the partition below.
+    per = work.keep(per.repartitionByRange(by_name).sortWithinPartitions(by_name).withColumn("at", F.monotonically_increasing_id()), "sources")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = 0
+    offset = F.lit(0)
+    for row in per.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():  # one for each partition
+        offset = F.when(part == row["part"], F.lit(before)).otherwise(offset)
+        before += row["n"]
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    per = per.withColumn("weight", F.element_at(cycle, ((rank - 1) % len(weights) + 1).cast("int")))
-    per = per.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    level = (F.sum(F.col("source_size").cast("double")).over(every) * share - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    per = per.withColumn("level", level).withColumn("clamped", F.col("cap") <= F.col("level") * F.col("weight"))
-    free = F.min(F.when(~F.col("clamped"), F.struct(F.col("cap") / F.col("weight"), F.col("level"))))
-    per = per.withColumn("free", free.over(every)["level"])
-    target = F.when(F.col("clamped"), F.col("cap")).otherwise(F.col("weight") * F.col("free"))
-    return per.select("source", "source_size", "weight", target.alias("target"))
+    per = per.select("source", "source_size", F.element_at(cycle, ((offset + place) % len(weights) + 1).cast("int")).alias("weight"))
+    per = work.keep(per.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs))), "weighted")
+    level, clamped = -1.0, -1
+    while True:
+        over = F.col("cap") <= F.lit(level) * F.col("weight")
+        when = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0.0))
+        r = per.agg(F.count(F.when(over, 1)).alias("n"), when(over, F.col("cap")).alias("caps"), when(~over, F.col("weight")).alias("free"), F.coalesce(F.sum(F.col("source_size").cast("double")), F.lit(0.0)).alias("all")).first()
+        if r["n"] == clamped or not r["free"]:
+            break
+        level, clamped = (r["all"] * share - r["caps"]) / r["free"], r["n"]
+    return per.select("source", "source_size", "weight", F.when(over, F.col("cap")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
 def _order_key(seed: str) -> Column:
@@ -66,16 +72,16 @@ def _order_key(seed: str) -> Column:
 
 
 def plan_sources(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, seed=SEED) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, size, place) of every row, and (s, source_size, target, whole, last) of every source, hinted to be
-    broadcast where the sources are few."""
+    """(doc_id, source, size, hash, place) of every row, and (s, source_size, target, whole, last, left) of every source,
+    hinted to be broadcast where the sources are few: the place in which the fraction ends and the words left for it."""
     work = Workspace(spark, "mix")
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"))
     slim = work.keep(slim.withColumn("place", _order_key(seed)), "sizes")
     bucket = F.substring("place", 1, BUCKET_DIGITS)
     sums = slim.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-    targets = source_targets(slim.select("source", "size"), weights, share, max_epochs)
+    targets = source_targets(work, slim.select("source", "size"), weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    targets = work.keep(targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).coalesce(1), "targets")
+    targets = work.keep(targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
 
     # The bucket in which each source's fraction ends, and the words before it: at most 4096 sums a source.
     running = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -86,42 +92,53 @@ def plan_sources(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share=SH
     ends = ends.join(hint(plan), F.col("source").eqNullSafe(F.col("s")))
     ends = ends.where((F.col("rest") > 0) & (F.col("before") < F.col("rest")))
     ends = ends.groupBy("s").agg(F.max_by(F.struct("bucket", "before"), "bucket").alias("edge"))
-    ends = work.keep(ends.select("s", "edge.bucket", "edge.before").coalesce(1), "edges")
+    ends = work.keep(ends.select("s", "edge.bucket", "edge.before"), "edges")
 
-    # Rows of the boundary buckets alone are ordered, to find the last place that is taken.
+    # Places of the boundary buckets alone are ordered, to find the last one of which something is taken.
     at = slim.join(hint(ends.withColumnRenamed("bucket", "edge")), F.col("source").eqNullSafe(F.col("s")) & (bucket == F.col("edge")))
     at = at.groupBy("s", "place", "before").agg(F.sum("size").alias("words"))
-    upto = F.col("before") + F.sum("words").over(Window.partitionBy("s").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    at = at.withColumn("upto", upto).join(hint(targets.select(F.col("source").alias("s2"), "rest")), F.col("s").eqNullSafe(F.col("s2")))
-    nearer = (F.col("upto") - F.col("rest")) <= (F.col("rest") - (F.col("upto") - F.col("words")))
-    last = at.where((F.col("upto") <= F.col("rest")) | nearer).groupBy("s").agg(F.max("place").alias("last"))
-    last = ends.withColumnRenamed("s", "s3").join(last, F.col("s3").eqNullSafe(F.col("s")), "left").select(F.col("s3"), F.coalesce("last", "bucket").alias("last"))
-    last = work.keep(last.coalesce(1), "last")
-
-    return slim, hint(plan.join(last, F.col("s").eqNullSafe(F.col("s3")), "left").select("s", "source_size", "target", "whole", "last"))
-
-
-def _repeats(place: Column) -> Column:
-    extra = F.when(F.col("last").isNotNull() & (place <= F.col("last")), 1).otherwise(0)
-    return (F.col("whole") + extra).cast("long")
+    ahead = F.coalesce(F.sum("words").over(Window.partitionBy("s").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = at.withColumn("ahead", F.col("before") + ahead).join(hint(targets.select(F.col("source").alias("s2"), "rest")), F.col("s").eqNullSafe(F.col("s2")))
+    last = at.where("ahead < rest").groupBy("s").agg(F.max_by(F.struct("place", (F.col("rest") - F.col("ahead")).alias("left")), "place").alias("edge"))
+    last = work.keep(last.select(F.col("s").alias("s3"), F.col("edge.place").alias("last"), F.col("edge.left").alias("left")), "last")
+    return slim, hint(plan.join(last, F.col("s").eqNullSafe(F.col("s3")), "left").select("s", "source_size", "target", "whole", "last", "left"))
+
+
+def _repeated(spark: SparkSession, rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows (with source, size, hash and place) and their source's columns, with `repeats`."""
+    work = Workspace(spark, "mix-edge")
+    joined = rows.join(sources, F.col("source").eqNullSafe(F.col("s")))
+    on_edge = F.col("last").isNotNull() & (F.col("place") == F.col("last"))
+    clear = joined.where(~on_edge).withColumn("repeats", F.col("whole") + F.when(F.col("place") < F.col("last"), 1).otherwise(0))
+    edge = work.keep(joined.where(on_edge).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "edge")
+    key = ["s", "size", "hash", "salt"]
+    groups = edge.groupBy(*key).agg(F.count("*").alias("n"), F.first("left").alias("room"))
+    words = F.col("n") * F.col("size")
+    ahead = F.coalesce(F.sum(words).over(Window.partitionBy("s").orderBy(*key[1:]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A row is taken if what it adds brings the sum nearer to the room: half of it must fit.
+    fit = F.when(F.col("size") > 0, F.floor((F.col("room") - ahead) / F.col("size") + 0.5)).otherwise(F.col("n"))
+    quotas = work.keep(groups.select(*[F.col(k).alias(f"q_{k}") for k in key], F.greatest(F.lit(0), F.least(F.col("n"), fit)).alias("quota")), "quotas")
+    same = [F.col(k).eqNullSafe(F.col(f"q_{k}")) for k in key]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("hash"))
+    split = edge.withColumn("nth", nth).join(quotas, same).withColumn("repeats", F.col("whole") + F.when(F.col("nth") <= F.col("quota"), 1).otherwise(0))
+    return clear.unionByName(split.select(*clear.columns)).withColumn("repeats", F.col("repeats").cast("long"))
 
 
 def plan_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken, repeats), one row per row of docs."""
     slim, sources = plan_sources(spark, docs, **options)
-    out = slim.join(sources, F.col("source").eqNullSafe(F.col("s")))
-    repeats = _repeats(F.col("place"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))
+    out = _repeated(spark, slim, sources)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
 
 
 def mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents: every row of docs as often as the plan repeats it, with docs' own columns; texts don't move."""
+    """The mixed documents: every row of docs as often as the plan repeats it, with docs' own columns; texts don't move but
+    for those of the one doc_id of a source at which its fraction ends."""
     seed = options.get("seed", SEED)
     _, sources = plan_sources(spark, docs, **options)
-    row, times = fresh("row", docs.columns), fresh("times", docs.columns)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col("source").alias("_source"), _order_key(seed).alias("_place"))
-    held = held.join(sources, F.col("_source").eqNullSafe(F.col("s"))).withColumn(times, _repeats(F.col("_place"))).where(F.col(times) > 0)
-    return held.select(F.explode(F.array_repeat(row, F.col(times).cast("int"))).alias(row)).select(f"{row}.*")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"), _order_key(seed).alias("place"))
+    held = _repeated(spark, held, sources).where("repeats > 0")
+    return held.select(F.explode(F.array_repeat("row", F.col("repeats").cast("int"))).alias("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,14 +155,11 @@ levels AS (SELECT *, (1.5::DOUBLE * sum(source_size::DOUBLE) OVER () - coalesce(
 filled AS (SELECT *, cap <= level * weight AS clamped FROM levels),
 targets AS (SELECT source, source_size, CASE WHEN clamped THEN cap ELSE weight * (SELECT arg_min(level, cap / weight) FROM filled WHERE NOT clamped) END AS target FROM filled),
 t AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets),
-runs AS (SELECT source, place, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY source, place),
-places AS (SELECT r.source AS psource, place, words, CAST(sum(words) OVER (PARTITION BY r.source ORDER BY place) AS BIGINT) AS upto,
-                  t.target - t.whole * t.source_size AS rest FROM runs r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
-kept AS (SELECT psource, max(place) AS last FROM places WHERE rest > 0 AND (upto <= rest OR upto - rest <= rest - (upto - words)) GROUP BY psource)
-SELECT d.doc_id, d.size, t.source_size, t.target,
-       CAST(d.size * (t.whole + CASE WHEN k.last IS NOT NULL AND d.place <= k.last THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-       CAST(t.whole + CASE WHEN k.last IS NOT NULL AND d.place <= k.last THEN 1 ELSE 0 END AS BIGINT) AS repeats
-FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN kept k ON k.psource IS NOT DISTINCT FROM d.source
+places AS (SELECT d.*, t.source_size, t.target, t.whole, t.target - t.whole * t.source_size AS rest,
+                  CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY place, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto
+           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, whole + CASE WHEN rest > 0 AND upto - size / 2::DOUBLE <= rest AND upto - size < rest THEN 1 ELSE 0 END AS repeats FROM places)
+SELECT doc_id, size, source_size, target, CAST(size * repeats AS BIGINT) AS taken, CAST(repeats AS BIGINT) AS repeats FROM r
 """
 
 

@@ -58,6 +58,15 @@ def test_mixing(spark):
     assert mixing.plan_documents(spark, docs(spark, [])).collect() == []
 
 
+def test_mixing_splits_repeated_rows(spark):
+    rows = [(7, "a b c d e f g h i j " * 4, "a")] * 20 + [(i, "x y z", "a") for i in range(100, 190)] + [(500 + i, "u v w " * 300, "b") for i in range(2)]
+    got = mixing.plan_documents(spark, docs(spark, rows)).collect()
+    by = {"a": [x for x in got if x["source_size"] == 1070], "b": [x for x in got if x["source_size"] == 1800]}
+    assert len(got) == len(rows) and all(x["taken"] <= 2 * x["size"] for x in got)
+    assert abs(sum(x["taken"] for x in by["a"]) - by["a"][0]["target"]) <= 20
+    assert mixing.mix(spark, docs(spark, rows)).count() == sum(x["repeats"] for x in got)
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     bags, want = [], []
