@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
+import re
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flaglens.functions.text import relative_path
 from flaglens.operators.extents import function_extents
 from flaglens.operators.extraction import extract
 from flaglens.operators.lines import nested
@@ -27,8 +30,8 @@ class Analysis:
     toggles are also looked for in the files that declare them, lone toggles count as nested, enum and mixed are empty.
     """
 
-    def __init__(self, spark: SparkSession, code: DataFrame, configs: DataFrame, lang: str, compat: bool = False, loose_code: DataFrame | None = None):
-        self.spark, self.lang, self.compat = spark, canonical(lang), compat
+    def __init__(self, spark: SparkSession, code: DataFrame, configs: DataFrame, lang: str, compat: bool = False, loose_code: DataFrame | None = None, root: str = ""):
+        self.spark, self.lang, self.compat, self.root = spark, canonical(lang), compat, root
         language(self.lang)
         keep = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
         self.configs = keep(configs)
@@ -66,12 +69,15 @@ class Analysis:
     def report(self, pattern: str) -> dict:
         if pattern not in PATTERNS:
             raise ValueError(f"unknown pattern: {pattern}")
+        # Reports name files as seen from the working directory.
+        seen = F.concat(F.lit(os.path.relpath(self.root) if self.root else ""), F.lit("/"), relative_path(F.col("path"), self.root))
+        below = lambda df: df.withColumn("path", F.regexp_replace(F.when(F.col("path").startswith(self.root.rstrip("/") + "/"), seen).otherwise(F.col("path")), r"^\./", "")) if self.root else df
         if pattern == "spread":
-            out = files_report(self.spread(), self.spread_functions())
+            out = files_report(below(self.spread()), below(self.spread_functions()))
         elif pattern == "enum":
-            out = files_report(self.enum())
+            out = files_report(below(self.enum()))
         elif pattern == "nested":
-            out = nested_report(self.nested())
+            out = nested_report(below(self.nested()))
         else:
             out = names_report(getattr(self, pattern)())
         return json.loads(out.first()["report"])
@@ -81,7 +87,7 @@ def analyze(spark: SparkSession, source: str, configs: list[str], pattern: str |
     """Reports by pattern; what fails in one pattern is its report {"error": ...}."""
     config_files = scan_configs(spark, source, configs, lang)
     name = resolve_language(config_files, lang)
-    own = Analysis(spark, scan_code(spark, source, name), config_files, name, compat, scan_code(spark, source, name, fallback=True))
+    own = Analysis(spark, scan_code(spark, source, name), config_files, name, compat, scan_code(spark, source, name, fallback=True), root=os.path.abspath(re.sub("^file:/+", "/", source)) if re.match("(file:|(?![a-z0-9]+:))", source) else "")
     wanted = [pattern] if pattern else [p for p in PATTERNS if p != "mixed" or language(name).build_flag]
     reports: dict = {}
     try:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flaglens.registry import ASK_EXTENSIONS, CONFIG_EXTENSIONS, CONTENT_PROBES, canonical, language
+from flaglens.session import ship
 
 
 def config_paths(source: str, configs: list[str]) -> list[str]:
@@ -14,6 +19,25 @@ def config_paths(source: str, configs: list[str]) -> list[str]:
     return [f"{root}/{piece.strip().removeprefix('./')}" for value in configs for piece in value.split(",") if piece.strip()]
 
 
+def _matches(spark: SparkSession, pattern: str) -> list:
+    """Statuses of what a glob without ** finds, in any store that Spark reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return list(target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) or [])
+
+
+def expand(spark: SparkSession, pattern: str) -> list[str]:
+    """The files that a glob finds; ** stands for any number of folders, and names that begin with a dot aren't met by it."""
+    head, sign, tail = pattern.partition("/**")
+    if not sign:
+        return [f.getPath().toString() for f in _matches(spark, pattern) if f.isFile()]
+    found, levels = [], head
+    while True:
+        found += [f for f in expand(spark, f"{levels}{tail or '/*'}") if "/." not in f.removeprefix(head)]
+        levels += "/*"
+        if not _matches(spark, levels):
+            return sorted(set(found))
+
+
 def decoded(content: Column, fallback: bool) -> Column:
     """UTF-8 text; bytes that are none are read as ISO-8859-1 with fallback, and are null without."""
     text = content.cast("string")
@@ -21,9 +45,50 @@ def decoded(content: Column, fallback: bool) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(other)
 
 
-def _load(spark: SparkSession, paths: list[str], recursive: bool) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true")
-    return reader.load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+CONTENTS = "path string, content binary"
+
+
+def _plain_path(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def _is_passed_over(path: str) -> bool:
+    """Whether Spark's sources leave a path out, as they do with names that begin with an underscore."""
+    return any(name.startswith("_") for name in path.split("/"))
+
+
+def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, content) of named files, whatever their names, by Python workers that open them one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                store, inner = FileSystem.from_uri(re.sub("^file:/+", "file:///", path) if ":" in path else f"file://{path}")
+                with store.open_input_stream(inner) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], ["path", "content"])
+
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 200)))
+    return rows.mapInArrow(run, CONTENTS).select(_plain_path(F.col("path")).alias("path"), "content")
+
+
+def _load(spark: SparkSession, paths: list[str], recursive: bool, names: str = "*") -> DataFrame:
+    """(path, content) of files, or of those below folders whose names fit the glob; only these are read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true").option("pathGlobFilter", names)
+    return reader.load(paths).select(_plain_path(F.col("path")).alias("path"), "content")
+
+
+def _underscored(spark: SparkSession, source: str, ends: tuple[str, ...]) -> list[str]:
+    """Files with one of the extensions that have an underscore first in their name or that of a folder below source."""
+    found, level = [], source.rstrip("/")
+    while _matches(spark, f"{level}/*"):
+        for f in _matches(spark, f"{level}/_*"):
+            path = f.getPath().toString()
+            found += [path] if f.isFile() else [x for end in ends for x in expand(spark, f"{path}/**/*.{end}")]
+        level += "/*"
+    below = lambda path: re.sub("^file:/+", "/", path).removeprefix(re.sub("^file:/+", "/", source.rstrip("/")))
+    return sorted({p for p in found if p.rpartition(".")[2] in ends and "/." not in below(p)})
 
 
 def extension(path: Column) -> Column:
@@ -36,7 +101,9 @@ def scan_code(spark: SparkSession, source: str, lang: str, fallback: bool = Fals
     ends = language(name).extensions
     if not ends:
         raise ValueError(f"no code files of language: {lang}")
-    df = _load(spark, [source], True).where(extension(F.col("path")).isin(*ends))
+    df = _load(spark, [source], True, f"*.{{{','.join(ends)}}}").where(extension(F.col("path")).isin(*ends))
+    if others := _underscored(spark, source, tuple(ends)):
+        df = df.unionByName(_read(ship(spark), others))
     text = decoded(F.col("content"), fallback)
     text = F.regexp_replace(text, "\r\n?", "\n") if fallback else text
     return df.select("path", F.lit(name).alias("language"), F.lit(False).alias("is_config"), text.alias("content")).where("content IS NOT NULL")
@@ -44,14 +111,12 @@ def scan_code(spark: SparkSession, source: str, lang: str, fallback: bool = Fals
 
 def scan_configs(spark: SparkSession, source: str, configs: list[str], lang: str | None = None) -> DataFrame:
     """Config files (path, language, is_config, content); those that don't exist are passed over, none at all is an error."""
-    found = []
-    for path in config_paths(source, configs):
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) or []
-        found += [str(f.getPath()) for f in files if f.isFile()]
+    found = sorted({f for path in config_paths(source, configs) for f in expand(spark, path)})
     if not found:
         raise ValueError("no config file found")
-    df = _load(spark, found, False)
+    plain, others = ([f for f in found if _is_passed_over(f.rpartition("/")[2]) == over] for over in (False, True))
+    parts = ([_load(spark, plain, False)] if plain else []) + ([_read(ship(spark), others)] if others else [])
+    df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     text = F.regexp_replace(decoded(F.col("content"), False), "\r\n?", "\n")
     own = F.lit(canonical(lang)) if lang else language_by_extension(F.col("path"))
     return df.select("path", own.alias("language"), F.lit(True).alias("is_config"), text.alias("content"))

@@ -45,6 +45,25 @@ def test_scan(spark, tree):
     assert S.except_configs(S.scan_code(spark, str(tree), "java"), configs).count() == 2
 
 
+def test_every_file_is_scanned(spark, tmp_path, monkeypatch):
+    for name in ("__init__.py", "a.py", "_flags.py", "_pkg/b.py", "_pkg/sub/_c.py", "x/y/__init__.py", "x/Flags.py", ".git/d.py", "x/.e/f.py", "x/note.txt", "_pkg/note.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"FEATURE_{len(name)}_ON = True\n")
+    found = {r["path"].removeprefix(f"{tmp_path}/"): r["content"] for r in S.scan_code(spark, str(tmp_path), "python").collect()}
+    assert set(found) == {"__init__.py", "a.py", "_flags.py", "_pkg/b.py", "_pkg/sub/_c.py", "x/y/__init__.py", "x/Flags.py"}
+    assert all(text == f"FEATURE_{len(name)}_ON = True\n" for name, text in found.items())
+    configs = lambda *c: {r["path"].removeprefix(f"{tmp_path}/") for r in S.scan_configs(spark, str(tmp_path), list(c)).collect()}
+    assert configs("__init__.py") == {"__init__.py"}
+    assert configs("**/Flags.py,none/**/x.py") == {"x/Flags.py"}
+    assert configs("**/__init__.py") == {"__init__.py", "x/y/__init__.py"}
+    assert configs("x/**") == {"x/Flags.py", "x/note.txt", "x/y/__init__.py"}
+    (tmp_path / "use.py").write_text("def f():\n    if FEATURE_11_ON:\n        pass\n")
+    (tmp_path / "use2.py").write_text("def g():\n    return FEATURE_11_ON\n")
+    monkeypatch.chdir(tmp_path.parent)
+    files = {e["file"] for e in analyze(spark, str(tmp_path), ["__init__.py"], "spread")["toggles"]["FEATURE_11_ON"]}
+    assert files == {f"{tmp_path.name}/{n}" for n in ("__init__.py", "use.py", "use2.py")}
+
+
 def test_language(spark):
     df = spark.createDataFrame([("x.hpp", "import java"), ("y", "def f"), ("z.cfg", "console.log")], "path string, content string")
     assert [tuple(r) for r in df.select(S.language_by_extension(F.col("path")), S.language_by_content(F.col("content"))).collect()] == [("cpp", "java"), (None, "python"), (None, "javascript")]
