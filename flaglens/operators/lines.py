@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flaglens.functions.text import ascii_words, is_word, split_lines
-from flaglens.operators.usage import _hint
+from flaglens.operators.usage import text_hits, word_hits
 from flaglens.registry import PROXIMITY, language
 
 GLOBAL = "GLOBAL"
@@ -35,12 +35,15 @@ def conditions(df: DataFrame, lang: str) -> DataFrame:
 def line_hits(df: DataFrame, toggles: DataFrame, small: bool | None = None) -> DataFrame:
     """(path, line_no, toggle), distinct, of toggles that a line holds as a substring, in its case."""
     names = toggles.select("toggle").where("toggle <> ''").distinct()
+    names = names.withColumn("_part", F.col("toggle"))
     in_lines = df.select("path", "line_no", F.explode(F.array_distinct(ascii_words(F.col("line")))).alias("word"))
-    plain = _hint(names.where(is_word(F.col("toggle"))), small)
-    holds = in_lines.select("word").distinct().join(plain, F.contains(F.col("word"), F.col("toggle")))
-    other = _hint(names.where(~is_word(F.col("toggle"))), small)
-    by_text = df.join(other, F.contains(F.col("line"), F.col("toggle"))).select("path", "line_no", "toggle")
-    return in_lines.join(holds, "word").select("path", "line_no", "toggle").unionByName(by_text).distinct()
+    holds = word_hits(in_lines.select("word").distinct(), names.where(is_word(F.col("toggle")))).select("word", "toggle")
+    by_word = in_lines.join(holds, "word").select("path", "line_no", "toggle")
+    other = names.where(~is_word(F.col("toggle")))
+    if other.isEmpty():
+        return by_word.distinct()
+    by_text = text_hits(df.select("path", "line_no", F.col("line").alias("_text")), other, in_lines, ["path", "line_no"], small)
+    return by_word.unionByName(by_text.select("path", "line_no", "toggle")).distinct()
 
 
 def nested_anchors(df: DataFrame, hits: DataFrame, proximity: int = PROXIMITY) -> DataFrame:

@@ -1,8 +1,11 @@
 """Which toggles occur where: the anti join of dead toggles and the joins of spread ones.
 
 A toggle of letters, digits and underscores lies within one maximal word of a text wherever it occurs, so its substring
-hits are found on the distinct words of the files, and reach the files by an equi join; only other toggles are met with
-contents one by one.
+hits are found on the distinct words of the files, and reach the files by an equi join. Toggles and words meet by an equi
+join as well: a toggle is anchored by that of its pieces of `GRAM` characters (or of all its characters, where it is
+shorter) that fewest words hold, and only words with that piece are compared with it. Other toggles are anchored by that
+of the whole words inside them that fewest files hold, and only files with that word are searched; those without such a
+word are met with contents one by one.
 """
 
 from __future__ import annotations
@@ -12,12 +15,17 @@ from pyspark.sql import functions as F
 
 from flaglens.functions.text import ascii_words, is_word, literal, occurrences
 
-#: Toggles that may be broadcast.
-SMALL = 200_000
+#: Toggles that may be broadcast, and the bytes that they may have.
+SMALL, SMALL_BYTES = 200_000, 64 << 20
+GRAM = 6
 
 
 def _hint(df: DataFrame, small: bool | None):
-    return F.broadcast(df) if (df.count() <= SMALL if small is None else small) else df
+    """df, to be broadcast where its rows and bytes are few."""
+    if small is None:
+        size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("chars")).first()
+        small = size["n"] <= SMALL and size["chars"] <= SMALL_BYTES // 4
+    return F.broadcast(df) if small else df
 
 
 def words(files: DataFrame, content: Column | None = None) -> DataFrame:
@@ -26,18 +34,62 @@ def words(files: DataFrame, content: Column | None = None) -> DataFrame:
     return files.select("path", F.explode(ascii_words(text)).alias("word")).groupBy("path", "word").agg(F.count("*").alias("times"))
 
 
+def _grams(text: Column, length: Column | int) -> Column:
+    """The distinct pieces of so many characters."""
+    size = F.lit(length) if isinstance(length, int) else length
+    pieces = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size))
+    return F.when(F.length(text) >= size, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
+def word_hits(distinct_words: DataFrame, names: DataFrame) -> DataFrame:
+    """(word, names' columns) of every word of (word) that holds a `_part` of names (_part, ...), parts being word characters."""
+    out = None
+    # Parts shorter than GRAM are pieces of their own length.
+    for size in range(1, GRAM + 1):
+        own = names.where(F.length("_part") >= size if size == GRAM else F.length("_part") == size)
+        pieces = distinct_words.select("word", F.explode(_grams(F.col("word"), size)).alias("_gram"))
+        if size < GRAM:
+            met = pieces.join(own, F.col("_gram") == F.col("_part"))
+        else:
+            spread = pieces.groupBy("_gram").agg(F.count("*").alias("_words"))
+            anchors = own.select("_part", F.explode(_grams(F.col("_part"), size)).alias("_gram")).distinct().join(spread, "_gram")
+            anchors = anchors.groupBy("_part").agg(F.min_by("_gram", F.struct("_words", "_gram")).alias("_gram"))
+            met = pieces.join(anchors, "_gram").where(F.contains(F.col("word"), F.col("_part"))).drop("_gram").join(own, "_part")
+        met = met.select("word", *names.columns)
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def text_hits(texts: DataFrame, names: DataFrame, in_texts: DataFrame, keys: list[str], small: bool | None = None) -> DataFrame:
+    """(keys, _text, names' columns) of every text of (keys, _text) that holds a `_part` of names, in_texts being (keys, word)."""
+    inside = F.regexp_extract_all("_part", F.lit(r"(?<=[^A-Za-z0-9_])[A-Za-z0-9_]+(?=[^A-Za-z0-9_])"), F.lit(0))
+    anchored, bare = names.where(F.size(inside) > 0), names.where(F.size(inside) == 0)
+    held = anchored.select("_part", F.explode(F.array_distinct(inside)).alias("word")).distinct()
+    spread = in_texts.join(held.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("_texts"))
+    anchors = held.join(spread, "word").groupBy("_part").agg(F.min_by("word", F.struct("_texts", "word")).alias("word"))
+    # The parts of a text come together, so that it is copied to none but the hits.
+    met = in_texts.join(anchors, "word").groupBy(*keys).agg(F.collect_set("_part").alias("_parts"))
+    found = texts.join(met, keys).withColumn("_parts", F.filter("_parts", lambda p: F.contains(F.col("_text"), p)))
+    found = found.select(*keys, "_text", F.explode("_parts").alias("_part")).join(anchored, "_part")
+    plain = texts.join(_hint(bare, small), F.contains(F.col("_text"), F.col("_part"))) if not bare.isEmpty() else None
+    found = found.select(*keys, "_text", *names.columns)
+    return found if plain is None else found.unionByName(plain.select(*keys, "_text", *names.columns))
+
+
 def substring_hits(files: DataFrame, toggles: DataFrame, ignore_case: bool = True, small: bool | None = None) -> DataFrame:
     """(toggle, path, n): how often a toggle occurs in a file, as a substring, where it does."""
     case = F.lower if ignore_case else lambda c: c
     names = toggles.select("toggle").where("toggle <> ''").distinct().withColumn("_part", case(F.col("toggle")))
     in_files = words(files, case(F.col("content")))
-    plain = _hint(names.where(is_word(F.col("_part"))), small)
-    holds = in_files.select("word").distinct().join(plain, F.contains(F.col("word"), F.col("_part")))
+    holds = word_hits(in_files.select("word").distinct(), names.where(is_word(F.col("_part"))))
     holds = holds.select("word", "toggle", occurrences(F.col("word"), F.col("_part")).alias("each"))
     by_word = in_files.join(holds, "word").groupBy("toggle", "path").agg(F.sum(F.col("times") * F.col("each")).alias("n"))
-    other = _hint(names.where(~is_word(F.col("_part"))), small)
-    text = files.select("path", case(F.col("content")).alias("_text"))
-    by_text = text.join(other, F.contains(F.col("_text"), F.col("_part"))).groupBy("toggle", "path").agg(F.sum(occurrences(F.col("_text"), F.col("_part"))).alias("n"))
+    other = names.where(~is_word(F.col("_part")))
+    if other.isEmpty():
+        return by_word
+    texts = files.select(F.struct("path", F.xxhash64("content").alias("hash")).alias("_key"), "path", case(F.col("content")).alias("_text"))
+    met = text_hits(texts.select("_key", "_text"), other, texts.select("_key", F.explode(F.array_distinct(ascii_words(F.col("_text")))).alias("word")), ["_key"], small)
+    by_text = met.groupBy("toggle", F.col("_key.path").alias("path")).agg(F.sum(occurrences(F.col("_text"), F.col("_part"))).alias("n"))
     return by_word.unionByName(by_text)
 
 
@@ -52,9 +104,13 @@ def used(toggles: DataFrame, files: DataFrame, small: bool | None = None) -> Dat
     names = toggles.select("toggle").where("toggle <> ''").distinct()
     plain = names.where(is_word(F.col("toggle")))
     whole = files.select(F.explode(F.regexp_extract_all("content", F.lit(r"(?U)\w+"), F.lit(0))).alias("toggle")).distinct()
-    other = _hint(names.where(~is_word(F.col("toggle"))), small)
-    found = files.select("content").join(other, F.contains(F.col("content"), F.col("toggle")) & F.regexp_like(F.col("content"), _edged(F.col("toggle"))))
-    return plain.join(whole, "toggle", "left_semi").unionByName(found.select("toggle").distinct())
+    known = plain.join(whole, "toggle", "left_semi")
+    other = names.where(~is_word(F.col("toggle"))).withColumn("_part", F.col("toggle"))
+    if other.isEmpty():
+        return known
+    texts = files.select(F.xxhash64("content").alias("_key"), F.col("content").alias("_text"))
+    met = text_hits(texts, other, texts.select("_key", F.explode(F.array_distinct(ascii_words(F.col("_text")))).alias("word")).distinct(), ["_key"], small)
+    return known.unionByName(met.where(F.regexp_like(F.col("_text"), _edged(F.col("toggle")))).select("toggle").distinct())
 
 
 def dead(toggles: DataFrame, files: DataFrame, small: bool | None = None) -> DataFrame:
