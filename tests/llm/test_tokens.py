@@ -116,15 +116,41 @@ def test_edits(own):
             assert tree.tokens == len(whole(own, text)) and tree.chars == len(text) and "".join(p for x in tree.leaves for p in x) == text
 
 
-def test_count_query(spark, own):
-    df = spark.createDataFrame(ROWS, "doc_id long, text string")
-    got = token_counts.count(spark, df).collect()
+def test_count_query(spark, own, tmp_path):
+    spark.createDataFrame([(*r, 1, "x") for r in ROWS], "doc_id long, text string, edits int, sums string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = token_counts.query(spark, str(tmp_path)).collect()
     assert len(got) == len(ROWS)
     by = {r["doc_id"]: r for r in got}
     text = ROWS[6][1]
-    after = text
-    for a, b, new in token_counts.script(len(text)):
+    after, n = text, len(text)
+    for a, b, new in [(0, 0, "Draft. "), (n // 3 + 7, n // 3 + 47, ""), (n // 2, n // 2 + 12, "[redacted]"), (n + 1000, n + 1000, "\nEnd of text.")]:
         after = after[: min(a, len(after))] + new + after[min(b, len(after)) :]
     assert (by[7]["n_tokens"], by[7]["n_tokens_after"]) == (len(whole(own, text)), len(whole(own, after)))
-    assert by[7]["n_reencoded"] < 60
-    assert by[1]["n_tokens"] == 0 and token_counts.count(spark, df.limit(0)).collect() == []
+    assert by[7]["n_reencoded"] < 60 and by[7]["n_edits"] == 4
+    assert by[1]["n_tokens"] == 0
+
+
+def test_kept_trees_follow_later_edits(spark, own, tmp_path):
+    r = random.Random(9)
+    texts = {i: "".join(r.choice(ALPHABET) for _ in range(r.randint(0, 900))) for i in range(40)}
+    trees = token_counts.build(spark, spark.createDataFrame([*texts.items(), (None, "a b"), (3, texts[3])], "doc_id long, text string"))
+    twice = 2
+    for round_no in range(3):
+        trees.select("doc_id", "n_chars", "leaves", "sizes", "counts", "sums").write.parquet(f"{tmp_path}/{round_no}")
+        edits, before = [], dict(texts)
+        for i in r.sample(sorted(texts), 25):
+            for k in range(r.randint(1, 3)):
+                a = r.randint(0, len(texts[i]) + 3)
+                b, new = a + r.choice((0, 1, 30, 400)), "".join(r.choice(ALPHABET) for _ in range(r.choice((0, 2, 300))))
+                texts[i] = texts[i][:a] + new + texts[i][b:]
+                edits.append((i, k, a, b, new))
+        edited = {e[0] for e in edits}
+        trees = token_counts.edit(spark, spark.read.parquet(f"{tmp_path}/{round_no}"), spark.createDataFrame([*edits, (999, 0, 0, 0, "x"), (None, 0, 0, 0, "x")], "doc_id long, ord int, start long, stop long, text string"))
+        got = trees.collect()
+        assert len(got) == len(texts) + twice
+        for x in got:
+            text, old = (texts[x["doc_id"]], before[x["doc_id"]]) if x["doc_id"] is not None else ("a b", "a b")
+            assert (x["n_tokens"], x["n_tokens_after"], x["n_chars"]) == (len(whole(own, old)), len(whole(own, text)), len(text))
+            assert "".join(x["leaves"]) == text and (x["doc_id"] in edited or x["n_reencoded"] == 0)
+    none = spark.read.parquet(f"{tmp_path}/0").limit(0)
+    assert token_counts.edit(spark, none, spark.createDataFrame([], "doc_id long, ord int, start long, stop long, text string")).collect() == []
