@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from flaglens.llm.store import BROADCAST_ROWS, Workspace, fresh
 from flaglens.llm.words import Words, by_chars, mix
+from flaglens.llm.worker import lean
 from flaglens.session import ship
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -217,7 +218,7 @@ def _linked(work: Workspace, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     hubs = needed.withColumnRenamed("id", "b").join(cuts, "b").select("b", F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
     with_a = dealt.join(needed.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(hubs, ["b", "cut"]).select("a", "b", "text_a", "text_b")
-    found = work.keep(with_b.mapInArrow(_verify, "a long, b long"), "links")
+    found = work.keep(with_b.mapInArrow(lean("bagminhash", _verify), "a long, b long"), "links")
     work.drop(needed, cuts, pairs)
     return found
 
@@ -229,7 +230,7 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     work = Workspace(ship(spark), "bagminhash")
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_hash"), text.alias("text"))
-    sketch = work.keep(plain.mapInArrow(_sketch, "doc_id long, text_hash string, bands array<long>, sign binary"), "sketch", compression="none")
+    sketch = work.keep(plain.mapInArrow(lean("bagminhash", _sketch), "doc_id long, text_hash string, bands array<long>, sign binary"), "sketch", compression="none")
     firsts = work.keep(sketch.where("doc_id IS NOT NULL").groupBy("text_hash").agg(F.min("doc_id").alias("text_id")), "firsts")
     same = work.keep(sketch.select("doc_id", "text_hash").join(firsts, "text_hash").where("doc_id IS NOT NULL").select("doc_id", "text_id"), "same")
     own = sketch.where("doc_id IS NOT NULL AND bands IS NOT NULL").join(firsts.select("text_hash", F.col("text_id").alias("doc_id")), ["text_hash", "doc_id"], "left_semi")

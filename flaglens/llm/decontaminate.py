@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flaglens.llm.store import Workspace, columns_ddl, fresh
+from flaglens.llm.worker import lean
 from flaglens.session import ship
 
 K1, B = 1.2, 0.75
@@ -267,7 +268,7 @@ def _meet(spark: SparkSession, docs: DataFrame, index, name: str) -> DataFrame:
                     lo, size = hi, 0
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x + y for x, y in zip(had, added, strict=True)], kind)], b.schema.names)
 
-    return docs.mapInArrow(run, columns_ddl(docs))
+    return docs.mapInArrow(lean("decontaminate", run), columns_ddl(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,9 @@ import numpy as np
 
 from flaglens.llm.worker import hold
 
+#: Pieces that a worker keeps of each of two generations, at about 200 bytes each; fewer cost only time.
+REMEMBERED = 600_000
+
 
 def single_spaced(text: str) -> bool:
     """Whether all white space of a text is single spaces and line feeds between other characters: as many characters of
@@ -28,7 +31,7 @@ class PieceEncoder:
     """encode(texts) gives the ids of each as bytes of `dtype`, little-endian. Up to 2 * `remembered` pieces are kept: those
     met lately and those met before them, which go when as many new ones have come."""
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
@@ -73,19 +76,32 @@ class PieceEncoder:
         """Whether the ids of the text are those of its pieces."""
         return self.fits and single_spaced(text) and not self.added.search(text)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut, get = self.dtype.itemsize, self.known.get
-        # The pieces of a text as after a line feed, whose one id is cut off again.
-        split = [f"\n{t}".replace("\n", " \n").split(" ")[1:] if self._splits(t) else None for t in texts]
-        found = [list(map(get, pieces)) if pieces else None for pieces in split]
-        new = {p for pieces, ids in zip(split, found, strict=True) if ids and None in ids for p, x in zip(pieces, ids, strict=True) if x is None}
-        if new:
-            self._know(new)
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        ids = list(map(self.known.get, pieces))
+        if None in ids:
+            fresh = [i for i, x in enumerate(ids) if x is None]
+            self._know({pieces[i] for i in fresh})
             get = self.known.get
-            for pieces, ids in zip(split, found, strict=True):
-                if ids and None in ids:
-                    ids[:] = [get(p) if x is None else x for p, x in zip(pieces, ids, strict=True)]
-        return [b"".join(x)[cut:] if x else self._ids(t).tobytes() for t, x in zip(texts, found, strict=True)]
+            for i in fresh:
+                ids[i] = get(pieces[i])
+        return ids
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        once, cut = dict.fromkeys(texts), self.dtype.itemsize  # copies in a row, as a mix has them, are encoded once
+        pieces: list[str] = []
+        ends: list[int] = []
+        for t in once:
+            if self._splits(t):
+                # As after a line feed, whose one id is cut off again.
+                own = f"\n{t}".replace("\n", " \n").split(" ")
+                pieces += own[1:]
+            ends.append(len(pieces))
+        ids, at = self._of_pieces(pieces), 0
+        for t, end in zip(once, ends, strict=True):
+            once[t] = b"".join(ids[at:end])[cut:] if end > at else self._ids(t).tobytes()
+            at = end
+        return [once[t] for t in texts]
 
     def unit_counts(self, parts: list[str]) -> np.ndarray:
         """The number of ids of each of the parts of a text, cut before single spaces and line feeds."""
@@ -101,21 +117,18 @@ class PieceEncoder:
         return np.array([len(self._ids(p)) for p in parts], dtype=np.int64)
 
     def _known_counts(self, keys: list[str]) -> np.ndarray:
-        ids = list(map(self.known.get, keys))
-        if None in ids:
-            self._know({p for p, x in zip(keys, ids, strict=True) if x is None})
-            get = self.known.get
-            ids = [get(p) if x is None else x for p, x in zip(keys, ids, strict=True)]
+        ids = self._of_pieces(keys)
         return np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.dtype.itemsize
 
 
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> PieceEncoder:
     """This worker's encoder for a vocabulary file."""
     hold("encoding", _encoders.clear)
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = PieceEncoder(path)
+    _encoders[path].remembered = remembered
     return _encoders[path]

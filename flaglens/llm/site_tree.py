@@ -45,6 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flaglens.llm.store import BROADCAST_ROWS, Workspace
+from flaglens.llm.worker import lean
 from flaglens.session import ship
 
 GAMMA, LOW, PAGES = 0.9, 0.6, 8
@@ -279,7 +280,7 @@ def _importance(tallies: DataFrame, keys: list[str]) -> DataFrame:
 
 def importance(work: Workspace, pages: DataFrame) -> DataFrame:
     """(host, node, importance) of every node of every host's tree, drawn towards that of all hosts."""
-    rows = work.keep(pages.select("url", "html").mapInArrow(_tallies, "host string, node long, kind int, value long, n long, children long"), "tallies")
+    rows = work.keep(pages.select("url", "html").mapInArrow(lean("site_tree", _tallies), "host string, node long, kind int, value long, n long, children long"), "tallies")
     drawn = lambda n, x, to: (F.col(n) * F.col(x) + PAGES * to) / (F.col(n) + PAGES)
     everywhere = _importance(rows, ["node"]).select("node", drawn("pages", "importance", F.lit(1.0)).alias("common"))
     everywhere = work.keep(everywhere, "everywhere")  # so that a node of all hosts can be split in the join
@@ -303,7 +304,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
             texts = [main_text(page.as_py(), dict(low.as_py() or ())) for page, low in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return with_low.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return with_low.mapInArrow(lean("site_tree", run), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

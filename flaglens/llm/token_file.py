@@ -31,9 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flaglens.llm.encoding import encoder
+from flaglens.llm.encoding import REMEMBERED, encoder
 from flaglens.llm.huffman import Codebook, code_lengths
 from flaglens.llm.store import Workspace
+from flaglens.llm.worker import lean
 from flaglens.session import ship
 
 END_ID = 2
@@ -66,13 +67,13 @@ def _unsqueeze(data: bytes, width: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
-def encode(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, int]:
+def encode(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED) -> tuple[DataFrame, int]:
     """(doc_id, ids): the squeezed ids of every document with the end id; and the bytes of an id."""
     path = vocabulary or vocabulary_path()
     width = encoder(path).dtype.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(path, remembered)
         end = np.array([end_id], dtype=own.dtype).tobytes()
         for b in batches:
             ids: list[bytes] = []
@@ -80,7 +81,7 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None,
                 ids += [_squeeze(x + end, width) for x in own.encode([t or "" for t in b.column(1).slice(i, TEXTS).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return ship(spark) and docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary"), width
+    return ship(spark) and docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean("encoding", run), "doc_id long, ids binary"), width
 
 
 def count_ids(ids: DataFrame, width: int) -> np.ndarray:
@@ -104,14 +105,14 @@ def count_ids(ids: DataFrame, width: int) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield one(of(np.frombuffer(x.as_py(), dtype=np.int64) for b in batches for x in b.column(0)))
 
-    tasks = ids.select("ids").mapInArrow(count, "counts binary")
+    tasks = ids.select("ids").mapInArrow(lean("token_file", count), "counts binary")
     merged = tasks.repartition(MERGERS).mapInArrow(add, "counts binary").collect()  # a vector of the vocabulary each
     return of(np.frombuffer(bytes(r["counts"]), dtype=np.int64) for r in merged)
 
 
-def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID) -> None:
+def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED) -> None:
     work = Workspace(spark, "tokens")
-    encoded, width = encode(spark, docs, vocabulary, end_id)
+    encoded, width = encode(spark, docs, vocabulary, end_id, remembered)
     ids = work.keep(encoded, "ids", compression="none")
     lengths = code_lengths(count_ids(ids, width))
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
@@ -142,7 +143,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str | Non
     # Rows of one doc_id can go to several parts; equal rows are in any order.
     keyed = ids.select("doc_id", "ids", F.xxhash64("ids").alias("hash"), F.monotonically_increasing_id().alias("row"))
     ordered = keyed.repartitionByRange("doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "ids")
-    ordered.select("doc_id", "ids").mapInArrow(pack, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.select("doc_id", "ids").mapInArrow(lean("token_file", pack), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     work.drop(ids)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     tokens = F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -176,7 +177,7 @@ def read(spark: SparkSession, path: str, each, columns: str) -> DataFrame:
                         at += n
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[None] * (len(fields) - 4)], strict=True)], fields)
 
-    found = ship(spark) and spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(unpack, f"doc_id long, part int, offset long, n_tokens long, {columns}")
+    found = ship(spark) and spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(lean("token_file", unpack), f"doc_id long, part int, offset long, n_tokens long, {columns}")
     parts = spark.read.schema("part int, base long").parquet(f"{path}/parts").withColumnRenamed("part", "_part")
     # One row for each part of the file.
     found = found.join(F.broadcast(parts), F.col("part") == F.col("_part")).withColumn("start", F.col("base") + F.col("offset"))
@@ -188,10 +189,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return read(spark, path, lambda ids: (ids.astype(np.int64).tolist(),), "ids array<long>")
 
 
-def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def digest(spark: SparkSession, docs: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
     """Write docs to a file and read it back: (doc_id, start, n_tokens, ids_crc32)."""
     path = Workspace(spark, "token-file").path("file")
-    write(spark, docs.select("doc_id", "text"), path)
+    write(spark, docs.select("doc_id", "text"), path, remembered=remembered)
     return read(spark, path, lambda ids: (zlib.crc32(np.ascontiguousarray(ids, dtype="<u4")),), "ids_crc32 long")
 
 
@@ -200,5 +201,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digest of the token file of docs."""
-    return digest(spark, docs)
+    """The digest of the token file of docs. Workers keep fewer pieces, as executors have come by memory in earlier stages."""
+    return digest(spark, docs, REMEMBERED // 6)

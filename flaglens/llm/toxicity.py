@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from flaglens.llm.store import columns_ddl, fresh
 from flaglens.llm.words import Words, by_chars, subwords
+from flaglens.llm.worker import lean
 from flaglens.session import ship
 
 NGRAMS = (3, 4, 5)
@@ -228,7 +229,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, keep: list[
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*b.schema.names[:-1], *names])
 
     slim = docs.select(*keep, F.col("text").alias(fresh("text", keep)))
-    return slim.mapInArrow(run, f"{columns_ddl(slim.select(*keep))}, `{names[0]}` double, `{names[1]}` int")
+    return slim.mapInArrow(lean("toxicity", run), f"{columns_ddl(slim.select(*keep))}, `{names[0]}` double, `{names[1]}` int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
