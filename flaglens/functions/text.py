@@ -66,6 +66,12 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/]*$", 0)
 
 
+def file_name(path: Column, lang: str) -> Column:
+    """The name of a Python, Java or Go file, or of a JavaScript one; of other languages the path."""
+    ends = {"python": "py", "java": "java", "go": "go", "js": "js"}.get(lang)
+    return F.regexp_extract(path, rf"[^/]*\.{ends}", 0) if ends else path
+
+
 def relative_path(path: Column, root: str) -> Column:
     root = root.rstrip("/") + "/"
     return F.when(path.startswith(root), F.substring(path, F.lit(len(root) + 1), F.length(path))).otherwise(path)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flaglens.functions.text import assigned_value, is_quoted, literal, normalised, strip_comments, unquoted
-from flaglens.registry import CALL_VALUE, INVALID_CHARS, MIN_LENGTH, PURE_NUMBER, WRONG_VALUES, language
+from flaglens.registry import CALL_VALUE, INVALID_CHARS, MIN_LENGTH, PURE_NUMBER, WRONG_VALUES, language, languages
 
 
 def candidates(files: DataFrame, lang: str) -> DataFrame:
@@ -85,3 +85,12 @@ def extract_by_file(files: DataFrame, lang: str) -> DataFrame:
 def extract(files: DataFrame, lang: str) -> DataFrame:
     """(toggle), distinct over all config files."""
     return extract_by_file(files, lang).select("toggle").distinct()
+
+
+def extract_each(files: DataFrame) -> DataFrame:
+    """(toggle), distinct, of (path, content, language): each file by the patterns of its own language; without one it declares nothing."""
+    out = None
+    for name in (n for n in languages() if language(n).declarations):
+        found = extract_by_file(files.where(F.col("language") == name), name).select("toggle")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()

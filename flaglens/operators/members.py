@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flaglens.functions.text import formatted, literal
+from flaglens.operators.usage import bodies
 from flaglens.registry import language
 
 UNNAMED = "UnnamedEnum"
@@ -46,6 +47,17 @@ def enum_counts(found: DataFrame) -> DataFrame:
     return per.where("_level <= 1").select("toggle", "path", "n")
 
 
+def _by_function(files: DataFrame, extents: DataFrame) -> DataFrame:
+    """(path, content) of functions as if they were files; path is (path, ord, fn_name)."""
+    return bodies(files, extents).select(F.struct("path", "ord", "fn_name").alias("path"), F.col("body").alias("content"))
+
+
+def enum_functions(toggles: DataFrame, files: DataFrame, extents: DataFrame, lang: str) -> DataFrame:
+    """(toggle, path, fn_name, n): how many functions of a name hold an enumeration with the toggle as a member."""
+    found = enum_toggles(toggles, enum_members(_by_function(files, extents), lang)).select("toggle", "path").distinct()
+    return found.groupBy("toggle", F.col("path.path").alias("path"), F.col("path.fn_name").alias("fn_name")).agg(F.count("*").alias("n"))
+
+
 def build_flags(files: DataFrame, lang: str) -> DataFrame:
     """(path, token): a row for each use of a build flag in a directive."""
     spec = language(lang)
@@ -59,6 +71,12 @@ def mixed_counts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("path", "token").agg(F.count("*").alias("n"))
 
 
+def mixed_functions(files: DataFrame, extents: DataFrame, lang: str) -> DataFrame:
+    """(fn_name, token, n): uses of build flags within functions, by the functions' names."""
+    tokens = build_flags(_by_function(files, extents), lang)
+    return tokens.groupBy(F.col("path.fn_name").alias("fn_name"), "token").agg(F.count("*").alias("n"))
+
+
 def mixed(files: DataFrame, lang: str) -> DataFrame:
     """(toggle): the build flags that files use."""
     return build_flags(files, lang).select(F.col("token").alias("toggle")).distinct()

@@ -146,16 +146,20 @@ def files_with(files: DataFrame, toggles: DataFrame, small: bool | None = None)
     return files.join(_hint(toggles.select("toggle").distinct(), small), F.contains(F.col("content"), F.col("toggle"))).select("toggle", "path", "content")
 
 
+def bodies(files: DataFrame, extents: DataFrame) -> DataFrame:
+    """(path, ord, fn_name, body): the text of each function; extents: (path, ord, fn_name, start_byte, end_byte)."""
+    raw = F.encode("content", "UTF-8")
+    body = F.decode(F.substring(raw, F.col("start_byte").cast("int") + 1, (F.col("end_byte") - F.col("start_byte")).cast("int")), "UTF-8")
+    return files.join(extents, "path").select("path", "ord", "fn_name", body.alias("body"))
+
+
 def function_usage(files: DataFrame, extents: DataFrame, hits: DataFrame, ignore_case: bool = True) -> DataFrame:
     """(toggle, path, fn_name, n): occurrences within functions; of functions of one name the last counts.
 
-    extents: (path, ord, fn_name, start_byte, end_byte); hits: (toggle, path), of which only files are read.
+    extents as of bodies(); hits: (toggle, path), of which only files are read.
     """
     case = F.lower if ignore_case else lambda c: c
-    raw = F.encode("content", "UTF-8")
-    body = F.decode(F.substring(raw, F.col("start_byte").cast("int") + 1, (F.col("end_byte") - F.col("start_byte")).cast("int")), "UTF-8")
-    bodies = files.join(extents, "path").select("path", "ord", "fn_name", case(body).alias("body"))
-    met = hits.select("toggle", "path").distinct().join(bodies, "path")
+    met = hits.select("toggle", "path").distinct().join(bodies(files, extents).withColumn("body", case(F.col("body"))), "path")
     n = occurrences(F.col("body"), case(F.col("toggle")))
     met = met.where(F.contains(F.col("body"), case(F.col("toggle")))).select("toggle", "path", "fn_name", "ord", n.alias("n"))
     return met.groupBy("toggle", "path", "fn_name").agg(F.max_by("n", "ord").alias("n"))

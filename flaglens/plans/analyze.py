@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from flaglens.functions.text import relative_path
 from flaglens.operators.extents import function_extents
-from flaglens.operators.extraction import extract
+from flaglens.operators.extraction import extract, extract_each
 from flaglens.operators.lines import nested
-from flaglens.operators.members import enum_members, enum_toggles, mixed
+from flaglens.operators.members import enum_functions, enum_members, enum_toggles, mixed, mixed_functions
 from flaglens.operators.usage import dead, dead_by_alternation, function_usage, spread, substring_hits
 from flaglens.registry import PATTERNS, canonical, language
 from flaglens.session import build_session
-from flaglens.sources.files import except_configs, resolve_language, scan_code, scan_configs, with_configs
+from flaglens.sources.files import except_configs, language_by_extension, resolve_language, scan_code, scan_configs, with_configs
 from flaglens.sources.reports import files_report, names_report, nested_report, to_text, write_text
 
 
@@ -57,15 +57,24 @@ class Analysis:
         return function_usage(self.loose, self.extents, self.spread(), ignore_case=not self.compat)
 
     def nested(self) -> DataFrame:
-        return nested(self.both, self.toggles, self.lang, self.extents, self.compat)
+        """By the toggles that each config file declares in its own language, with compat none where its extension doesn't tell one."""
+        own = language_by_extension(F.col("path"))
+        each = extract_each(self.configs.withColumn("language", own if self.compat else F.coalesce(own, F.lit(self.lang))))
+        return nested(self.both, each, self.lang, self.extents, self.compat)
 
     def enum(self) -> DataFrame:
         found = enum_toggles(self.toggles, enum_members(self.both, self.lang))
         return found.where(F.lit(not self.compat)).groupBy("toggle", "path").agg(F.count("*").alias("n"))
 
+    def enum_functions(self) -> DataFrame:
+        return enum_functions(self.toggles, self.both, self.extents, self.lang).where(F.lit(not self.compat))
+
     def mixed(self) -> DataFrame:
         return mixed(self.code, self.lang).where(F.lit(not self.compat))
 
+    def mixed_functions(self) -> DataFrame:
+        return mixed_functions(self.code, self.extents, self.lang).where(F.lit(not self.compat))
+
     def report(self, pattern: str) -> dict:
         if pattern not in PATTERNS:
             raise ValueError(f"unknown pattern: {pattern}")
@@ -75,7 +84,7 @@ class Analysis:
         if pattern == "spread":
             out = files_report(below(self.spread()), below(self.spread_functions()))
         elif pattern == "enum":
-            out = files_report(below(self.enum()))
+            out = files_report(below(self.enum()), below(self.enum_functions()))
         elif pattern == "nested":
             out = nested_report(below(self.nested()))
         else:

@@ -13,10 +13,12 @@ from flaglens.operators import lines as L
 from flaglens.operators import members as M
 from flaglens.operators import usage as U
 from flaglens.operators.extents import function_extents
-from flaglens.plans.corpora import LINES_SQL, NAME_SQL, SNIPPETS, TOGGLES_SQL, code_lines, quote, snippets, snippets_sql, table, toggles
+from flaglens.plans.corpora import (
+    LINES_SQL, NAME_SQL, SNIPPETS, TOGGLES_SQL, case_functions_sql, case_names, case_names_sql, cases, cases_sql, code_lines, quote, snippet_functions_sql, snippets, snippets_sql, table, toggles,
+)
 from flaglens.registry import BLOCK_COMMENT, CALL_VALUE, CONFIG_EXTENSIONS, CONTENT_PROBES, INVALID_CHARS, PURE_NUMBER, WRONG_VALUES, language
 from flaglens.sources.files import except_configs, language_by_content, language_by_extension, with_configs
-from flaglens.sources.reports import names_report
+from flaglens.sources.reports import files_report, names_report, nested_report, wrapped
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,9 +134,10 @@ _add(
     SELECT toggle, path, 'fn' || CAST(line_no // 10 AS VARCHAR) AS fn_name, CAST(sum((length(lower(line)) - length(replace(lower(line), lower(toggle), ''))) // length(toggle)) AS BIGINT) AS n
     FROM l JOIN t ON contains(lower(line), lower(toggle)) GROUP BY ALL""",
 )
-for _lang, _parent in (("cpp", None), ("csharp", None), ("java", None), ("go", None)):
-    _texts = {"cpp": [r"(class .+)\s*\n?\{", r"(namespace .+)\s*\n?\{"], "csharp": [r"(namespace .*);"], "java": [r"class (.*( extends|implements \w*)*) \{[\s\S]*%s"], "go": [r"\npackage (.*)(\n)"]}[_lang]
-    _each = " UNION ".join(f"SELECT toggle, regexp_extract(content, replace({quote(p)}, '%s', '\\Q' || toggle || '\\E'), 1) AS parent, path FROM h" for p in _texts)
+for _lang in ("cpp", "csharp", "java", "go", "python", "config"):
+    # The oracle's engine has no lookahead; a Python snippet has one class, so none lies between it and a toggle.
+    _texts = {"cpp": [r"(class .+)\s*\n?\{", r"(namespace .+)\s*\n?\{"], "csharp": [r"(namespace .*);"], "java": [r"class (.*( extends|implements \w*)*) \{[\s\S]*%s"], "go": [r"\npackage (.*)(\n)"], "python": [r"class (.*?)\:\n(.*?\n)*?.*?%s"], "config": list(language("config").parents)}[_lang]
+    _each = " UNION ".join(f"SELECT toggle, regexp_extract(content, replace({quote(p)}, '%s', '\\Q' || toggle || '\\E'), {0 if _lang == 'config' else 1}) AS parent, path FROM h" for p in _texts)
     _parents_sql = f"WITH f AS ({snippets_sql(_lang)}), t AS (SELECT {NAME_SQL} AS toggle FROM nation), h AS (SELECT toggle, path, content FROM f JOIN t ON contains(content, toggle))"
     _add(f"parents_{_lang}", lambda s, d, g=_lang: M.parents(U.files_with(snippets(s, d, g), _name_toggles(s, d)), g), f"{_parents_sql} {_each}")
     if _lang == "cpp":
@@ -269,9 +272,9 @@ _add(
 _trim_sql = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 
 
-def _members_sql(lang: str) -> str:
+def _members_sql(lang: str, source: str | None = None) -> str:
     pattern, name = quote("(?s)" + language(lang).enum), language(lang).name
-    blocks = f"SELECT path, unnest(regexp_extract_all(content, {pattern}, 0)) AS block, unnest(range(len(regexp_extract_all(content, {pattern}, 0)))) AS block_no FROM ({snippets_sql(lang)})"
+    blocks = f"SELECT path, unnest(regexp_extract_all(content, {pattern}, 0)) AS block, unnest(range(len(regexp_extract_all(content, {pattern}, 0)))) AS block_no FROM ({source or snippets_sql(lang)})"
     group = lambda i: f"regexp_extract(block, {pattern}, {i})"
     if name == "go":
         key, members = "'go'", f"list_transform(string_split({group(1)}, chr(10)), lambda m: {_trim_sql('string_split(m, chr(61))[1]')})"
@@ -340,5 +343,100 @@ _add(
     lambda s, d: table(s, d, "part").select("p_name", T.normalised(F.col("p_name")).alias("plain"), T.quoted(F.col("p_name")).alias("quoted"), T.base_name(F.concat(F.lit("a/b/"), "p_name", F.lit(".py"))).alias("file")).distinct(),
     "SELECT DISTINCT p_name, lower(regexp_replace(p_name, '[ _-]', '', 'g')) AS plain, '\"' || p_name || '\"' AS quoted, p_name || '.py' AS file FROM part",
 )
-for _lang in ("python", "java", "go", "cpp"):
-    _add(f"function_extents_{_lang}", lambda s, d, g=_lang: function_extents(snippets(s, d, g), g))
+_place_sql = "CAST(strlen(split_part(content, body, 1)) AS BIGINT)"
+for _lang in SNIPPETS:
+    if _lang != "config":
+        _add(
+            f"function_extents_{_lang}",
+            lambda s, d, g=_lang: function_extents(snippets(s, d, g), g).withColumn("ord", F.col("ord").cast("long")),
+            f"SELECT path, CAST(ord AS BIGINT) AS ord, fn_name, {_place_sql} AS start_byte, {_place_sql} + strlen(body) AS end_byte FROM ({snippet_functions_sql(_lang)}) JOIN ({snippets_sql(_lang)}) USING (path)",
+        )
+for _lang in ("java", "cpp"):
+    _add(
+        f"function_extents_cases_{_lang}",
+        lambda s, d, g=_lang: function_extents(cases(s, d, g), g).withColumn("ord", F.col("ord").cast("long")),
+        f"SELECT path, CAST(ord AS BIGINT) AS ord, fn_name, {_place_sql} AS start_byte, {_place_sql} + strlen(body) AS end_byte FROM ({case_functions_sql(_lang)}) JOIN ({cases_sql(_lang)}) USING (path)",
+    )
+_add(
+    "file_names",
+    lambda s, d: _all_snippets(s, d).select(F.explode(F.array(*[T.file_name(F.concat("path", F.lit(f".{end}")), lang) for lang, end in (("python", "py"), ("java", "java"), ("go", "go"), ("cpp", "cc"))])).alias("file")),
+    f"SELECT unnest([regexp_extract(path, '[^/]*$', 0) || '.py', regexp_extract(path, '[^/]*$', 0) || '.java', regexp_extract(path, '[^/]*$', 0) || '.go', path || '.cc']) AS file FROM ({_ALL_SQL})",
+)
+
+# Within functions, and reports, over files of differing shapes.
+_FLAGS, _MEMBERS = ("NESTED_@J_FLAG", "OUTER_@J_FLAG", "LONE_@J_FLAG", "GHOST_@J_FLAG"), ("LOW_@J", "MID_@J", "TOP_@J", "GHOST_@J")
+_enums = lambda s, d: M.enum_toggles(case_names(s, d, *_MEMBERS), M.enum_members(cases(s, d, "cpp"), "cpp"))
+
+
+def enum_functions(s: SparkSession, d: str) -> DataFrame:
+    files = cases(s, d, "cpp")
+    return M.enum_functions(case_names(s, d, *_MEMBERS), files, function_extents(files, "cpp"), "cpp")
+
+
+def mixed_functions(s: SparkSession, d: str) -> DataFrame:
+    files = cases(s, d, "cpp")
+    return M.mixed_functions(files, function_extents(files, "cpp"), "cpp")
+
+
+def spread_report(s: SparkSession, d: str) -> DataFrame:
+    files = cases(s, d, "java")
+    found = U.spread(U.substring_hits(files, case_names(s, d, *_FLAGS)))
+    return files_report(found, U.function_usage(files, function_extents(files, "java"), found))
+
+
+def nested_cases(s: SparkSession, d: str) -> DataFrame:
+    files = cases(s, d, "java")
+    return L.nested(files, case_names(s, d, *_FLAGS), "java", function_extents(files, "java"))
+
+
+def _report_sql(rows: str) -> str:
+    """The report of (toggle, path, entry), in order of names and paths."""
+    return f"""SELECT '{{"toggles":{{' || coalesce(string_agg('"' || toggle || '":[' || files || ']', ',' ORDER BY toggle), '') || '}},"qty":' || CAST(count(*) AS VARCHAR) || '}}' AS report
+        FROM (SELECT toggle, string_agg(entry, ',' ORDER BY path) AS files FROM ({rows}) GROUP BY toggle)"""
+
+
+def _objects_sql(rows: str) -> str:
+    """(toggle, path, fns) of (toggle, path, fn_name, value)."""
+    return f"""SELECT toggle, path, '{{' || string_agg('"' || fn_name || '":' || value, ',' ORDER BY fn_name) || '}}' AS fns FROM ({rows}) GROUP BY toggle, path"""
+
+
+def _entries_sql(rows: str, functions: str) -> str:
+    """(toggle, path, entry) of (toggle, path, n), with the values of functions."""
+    return f"""SELECT toggle, path, '{{"file":"' || path || '","Functions":[' || coalesce(fns, '{{}}') || '],"count":' || CAST(n AS VARCHAR) || '}}' AS entry
+        FROM ({rows}) LEFT JOIN ({_objects_sql(functions)}) USING (toggle, path)"""
+
+
+_times = lambda text: f"CAST((length(lower({text})) - length(replace(lower({text}), lower(toggle), ''))) // length(toggle) AS BIGINT)"
+_KEYS_SQL = "path || chr(9) || CAST(ord AS VARCHAR) || chr(9) || fn_name"
+_CASE_ENUMS_SQL = f"SELECT DISTINCT toggle, path, enum_name FROM ({_members_sql('cpp', cases_sql('cpp'))}) JOIN ({case_names_sql(*_MEMBERS)}) ON member = toggle"
+_ENUM_FUNCTIONS_SQL = f"""SELECT toggle, split_part(key, chr(9), 1) AS path, split_part(key, chr(9), 3) AS fn_name, count(*) AS n
+    FROM (SELECT DISTINCT toggle, path AS key FROM ({_members_sql("cpp", f"SELECT {_KEYS_SQL} AS path, body AS content FROM ({case_functions_sql('cpp')})")}) JOIN ({case_names_sql(*_MEMBERS)}) ON member = toggle) GROUP BY ALL"""
+_CASE_HITS_SQL = f"""WITH t AS ({case_names_sql(*_FLAGS)}), f AS ({cases_sql("java")}), g AS ({case_functions_sql("java")}), h AS (SELECT toggle, path, {_times("content")} AS n FROM f JOIN t ON contains(lower(content), lower(toggle))),
+    r AS (SELECT * FROM h WHERE toggle IN (SELECT toggle FROM h GROUP BY toggle HAVING count(DISTINCT path) > 1)), u AS (SELECT toggle, path, fn_name, CAST({_times("body")} AS VARCHAR) AS value FROM g JOIN t ON contains(lower(body), lower(toggle)))"""
+_CASE_NESTED_SQL = f"""WITH t AS ({case_names_sql(*_FLAGS)}), f AS ({cases_sql("java")}), l AS (SELECT path, unnest(range(len({_SPLIT_SQL}))) AS line_no, unnest({_SPLIT_SQL}) AS line FROM f),
+    b AS ({_ENDS_SQL}), g AS (SELECT path, ord, fn_name, {_place_sql} AS a, {_place_sql} + strlen(body) AS z FROM ({case_functions_sql("java")}) JOIN f USING (path)),
+    h AS (SELECT path, line_no, toggle, {_cond_sql("line", "java")} AS cond FROM l JOIN t ON contains(line, toggle)),
+    near AS (SELECT DISTINCT a.path, a.line_no, b.toggle FROM h a JOIN h b ON a.path = b.path AND abs(a.line_no - b.line_no) <= 3 AND b.cond),
+    e AS (SELECT a.path, a.line_no, a.toggle, b.toggle AS dependency FROM near a JOIN near b ON a.path = b.path AND a.line_no = b.line_no AND a.toggle <> b.toggle),
+    x AS (SELECT b.path, b.line_no, coalesce(arg_min(fn_name, ord), 'GLOBAL') AS fn_name FROM b LEFT JOIN g ON b.path = g.path AND b.end_byte BETWEEN g.a AND g.z GROUP BY b.path, b.line_no),
+    r AS (SELECT toggle, path, fn_name, list_sort(list_distinct(list(dependency))) AS ds FROM e JOIN x USING (path, line_no) GROUP BY toggle, path, fn_name)"""
+_nested_values = """SELECT toggle, path, fn_name, '["' || array_to_string(ds, '","') || '"]' AS value FROM r"""
+_NESTED_ENTRIES_SQL = f"""SELECT toggle, path, '{{"file":"' || path || '","Functions":[' || fns || ']}}' AS entry FROM ({_objects_sql(_nested_values)})"""
+_add("enum_functions", enum_functions, _ENUM_FUNCTIONS_SQL)
+_add("enum_report", lambda s, d: files_report(_enums(s, d).groupBy("toggle", "path").agg(F.count("*").alias("n")), enum_functions(s, d)), _report_sql(_entries_sql(f"SELECT toggle, path, count(*) AS n FROM ({_CASE_ENUMS_SQL}) GROUP BY toggle, path", f"SELECT toggle, path, fn_name, CAST(n AS VARCHAR) AS value FROM ({_ENUM_FUNCTIONS_SQL})")))
+_add("mixed_functions", mixed_functions, f"SELECT fn_name, token, count(*) AS n FROM (SELECT fn_name, unnest(regexp_extract_all(body, {quote(language('cpp').build_flag)}, 1)) AS token FROM ({case_functions_sql('cpp')})) WHERE token <> '' GROUP BY fn_name, token")
+_add(
+    "mixed_report",
+    lambda s, d: names_report(M.mixed(cases(s, d, "cpp"), "cpp")),
+    f"""SELECT '{{"toggles":[' || coalesce(string_agg('"' || token || '"', ',' ORDER BY token), '') || '],"qty":' || CAST(count(*) AS VARCHAR) || '}}' AS report
+    FROM (SELECT DISTINCT unnest(regexp_extract_all(content, {quote(language("cpp").build_flag)}, 1)) AS token FROM ({cases_sql("cpp")})) WHERE token <> ''""",
+)
+_add("enum_names", lambda s, d: wrapped(_enums(s, d), "enum"), f"""SELECT '{{"enum_toggles":[' || string_agg('"' || toggle || '"', ',' ORDER BY toggle) || '],"qty":' || CAST(count(*) AS VARCHAR) || '}}' AS report FROM (SELECT DISTINCT toggle FROM ({_CASE_ENUMS_SQL}))""")
+_add("parents_report", lambda s, d: names_report(QUERIES["spread_parents"](s, d)), f"""WITH p AS ({ORACLES["spread_parents"]}) SELECT '{{"toggles":[' || coalesce(string_agg('"' || toggle || '"', ',' ORDER BY toggle), '') || '],"qty":' || CAST(count(*) AS VARCHAR) || '}}' AS report FROM (SELECT DISTINCT toggle FROM p)""")
+_add("spread_report", spread_report, f"{_CASE_HITS_SQL} {_report_sql(_entries_sql('SELECT * FROM r', 'SELECT * FROM u'))}")
+_add("nested_functions", lambda s, d: nested_cases(s, d).withColumn("dependencies", F.array_join("dependencies", ",")), f"{_CASE_NESTED_SQL} SELECT toggle, path, fn_name, array_to_string(ds, ',') AS dependencies FROM r")
+_add(
+    "nested_report",
+    lambda s, d: nested_report(nested_cases(s, d)),
+    f"{_CASE_NESTED_SQL} {_report_sql(_NESTED_ENTRIES_SQL)}",
+)

@@ -77,3 +77,81 @@ def quote(text: str) -> str:
 
 def snippets_sql(lang: str) -> str:
     return f"SELECT '{lang}/' || {NAME_SQL} AS path, replace(replace({quote(SNIPPETS[lang])}, '@N', {NAME_SQL}), '~', chr(10)) AS content FROM nation"
+
+
+#: Files of differing shapes, one a customer: shape i goes to those whose key leaves i. @K is the key, @J the key's sixth, ~ a line
+#: break. Beside each text are its functions, in order, as (name, text).
+CASES = {
+    "java": (
+        ("class A@K {~  void go@K() {~    if (isOn(NESTED_@J_FLAG) && isOn(OUTER_@J_FLAG)) {~      run();~    }~  }~}~", (("go@K", "void go@K() {~    if (isOn(NESTED_@J_FLAG) && isOn(OUTER_@J_FLAG)) {~      run();~    }~  }"),)),
+        (
+            "class B@K {~  int one() { return NESTED_@J_FLAG ? 1 : 0; }~  String s = \"\u00e9\u00e9\";~  int two(int x) { return use(outer_@J_flag, OUTER_@J_FLAG); }~~~  boolean b = LONE_@J_FLAG;~}~",
+            (("one", "int one() { return NESTED_@J_FLAG ? 1 : 0; }"), ("two", "int two(int x) { return use(outer_@J_flag, OUTER_@J_FLAG); }")),
+        ),
+        ("// nested_@J_flag~class C@K {~}~", ()),
+        ("class D@K {~  D@K(int a) { if (isOn(LONE_@J_FLAG)) { return; } }~}~", (("D@K", "D@K(int a) { if (isOn(LONE_@J_FLAG)) { return; } }"),)),
+    ),
+    "cpp": (
+        (
+            "enum Tone@K {LOW_@J, HIGH_@J};~int get@K() {~  enum Inner {MID_@J, TOP_@J};~#if BUILDFLAG(USE_@J_A)~  return 1;~#endif~#if BUILDFLAG(IS_MAC)~#if BUILDFLAG( IS_MAC )~  return 2;~}~",
+            (("get@K", "int get@K() {~  enum Inner {MID_@J, TOP_@J};~#if BUILDFLAG(USE_@J_A)~  return 1;~#endif~#if BUILDFLAG(IS_MAC)~#if BUILDFLAG( IS_MAC )~  return 2;~}"),),
+        ),
+        ("// \u00e9 \u00e9~void run() { if (a) { enum {TOP_@J}; } }~#if BUILDFLAG(OUTSIDE_@J)~", (("run", "void run() { if (a) { enum {TOP_@J}; } }"),)),
+        (
+            "class A@K {~  int pick() { return MID_@J; }~  int pick(int x) { enum E {MID_@J}; enum F {MID_@J}; return x; }~};~",
+            (("pick", "int pick() { return MID_@J; }"), ("pick", "int pick(int x) { enum E {MID_@J}; enum F {MID_@J}; return x; }")),
+        ),
+        ("int x@K;~#if BUILDFLAG(IS_MAC)~", ()),
+    ),
+}
+
+
+def cases(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
+    """(path, content): a file of one of the language's shapes for each customer."""
+    key, sixth, content = F.col("c_custkey").cast("string"), F.floor(F.col("c_custkey") / 6).cast("string"), F.lit("")
+    for i, (text, _) in enumerate(CASES[lang]):
+        content = F.when(F.col("c_custkey") % len(CASES[lang]) == i, F.lit(text)).otherwise(content)
+    content = F.replace(F.replace(F.replace(content, F.lit("@K"), key), F.lit("@J"), sixth), F.lit("~"), F.lit("\n"))
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit(f"{lang}/"), key).alias("path"), content.alias("content"))
+
+
+def case_names(spark: SparkSession, sf_dir: str, *forms: str) -> DataFrame:
+    """(toggle): each form with @J filled in."""
+    sixths = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 6).cast("string").alias("j")).distinct()
+    return sixths.select(F.explode(F.array(*[F.replace(F.lit(x), F.lit("@J"), F.col("j")) for x in forms])).alias("toggle"))
+
+
+def _filled(text: str) -> str:
+    return f"replace(replace(replace({text}, '@K', CAST(c_custkey AS VARCHAR)), '@J', CAST(c_custkey // 6 AS VARCHAR)), '~', chr(10))"
+
+
+def cases_sql(lang: str) -> str:
+    texts = ", ".join(quote(text) for text, _ in CASES[lang])
+    return f"SELECT '{lang}/' || CAST(c_custkey AS VARCHAR) AS path, {_filled(f'[{texts}][c_custkey % {len(CASES[lang])} + 1]')} AS content FROM customer"
+
+
+def case_names_sql(*forms: str) -> str:
+    return f"SELECT DISTINCT {_filled(f'unnest([{", ".join(map(quote, forms))}])')} AS toggle FROM customer"
+
+
+def case_functions_sql(lang: str) -> str:
+    """(path, ord, fn_name, body)."""
+    rows = ", ".join(f"({i}, {n}, {quote(name)}, {quote(body)})" for i, (_, own) in enumerate(CASES[lang]) for n, (name, body) in enumerate(own))
+    return f"SELECT '{lang}/' || CAST(c_custkey AS VARCHAR) AS path, ord, {_filled('name')} AS fn_name, {_filled('text')} AS body FROM customer JOIN (VALUES {rows}) x(shape, ord, name, text) ON c_custkey % {len(CASES[lang])} = shape"
+
+
+#: The functions of the snippets, in order, as (name, text).
+SNIPPET_FUNCTIONS = {
+    "java": (("load", "void load() { map.put(\"key_@N_longer\", 2); value_@N_total = conf.get(NAME_@N_CONST); }"), ("pick", "int pick(int a) { return a > 0 ? Ref@N::member_@N_one : 0; }")),
+    "python": (("check", "def check(a, b):~    if FEATURE_@N_ON and a:~        return b or os.x~    elif b:~        return limit_@N_value"),),
+    "csharp": (("Get", "public int Get(bool f) { return f && Enable@NFeature != null ? 1 : 2; }"),),
+    "go": (("Apply@NRules", "func (c *Conf) Apply@NRules(on bool) {~  local@NSetting := load(\"x\")~  opts := map[string]int{\"key@NOption\": 1, other@NOption: 2}~  if on && Enable@NToggle {~    return use(opts)~  }~}"),),
+    "cpp": (("get", "int get() { if (on && kFeature@NName) { return 1; } return 0; }"),),
+    "c": (("LIMIT", "#define LIMIT 3"), ("run", "int run(void) { return 1; }")),
+}
+
+
+def snippet_functions_sql(lang: str) -> str:
+    """(path, ord, fn_name, body)."""
+    rows = ", ".join(f"({n}, {quote(name)}, {quote(body)})" for n, (name, body) in enumerate(SNIPPET_FUNCTIONS[lang]))
+    return f"SELECT '{lang}/' || {NAME_SQL} AS path, ord, replace(name, '@N', {NAME_SQL}) AS fn_name, replace(replace(body, '@N', {NAME_SQL}), '~', chr(10)) AS body FROM nation, (VALUES {rows}) x(ord, name, body)"

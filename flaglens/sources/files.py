@@ -110,14 +110,16 @@ def scan_code(spark: SparkSession, source: str, lang: str, fallback: bool = Fals
 
 
 def scan_configs(spark: SparkSession, source: str, configs: list[str], lang: str | None = None) -> DataFrame:
-    """Config files (path, language, is_config, content); those that don't exist are passed over, none at all is an error."""
+    """Config files (path, language, is_config, content); those that don't exist are passed over; none at all, or bytes that
+    are no UTF-8, are errors."""
     found = sorted({f for path in config_paths(source, configs) for f in expand(spark, path)})
     if not found:
         raise ValueError("no config file found")
     plain, others = ([f for f in found if _is_passed_over(f.rpartition("/")[2]) == over] for over in (False, True))
     parts = ([_load(spark, plain, False)] if plain else []) + ([_read(ship(spark), others)] if others else [])
     df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    text = F.regexp_replace(decoded(F.col("content"), False), "\r\n?", "\n")
+    strict = F.coalesce(decoded(F.col("content"), False), F.raise_error(F.concat(F.lit("not UTF-8: "), "path")))
+    text = F.regexp_replace(strict, "\r\n?", "\n")
     own = F.lit(canonical(lang)) if lang else language_by_extension(F.col("path"))
     return df.select("path", own.alias("language"), F.lit(True).alias("is_config"), text.alias("content"))
 

@@ -5,41 +5,58 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PRETTY = {"pretty": "true"}
-
 
 def names_report(toggles: DataFrame) -> DataFrame:
     """One row (report): {"toggles": [sorted names], "qty": n}."""
     return toggles.agg(F.to_json(F.struct(F.array_sort(F.collect_set("toggle")).alias("toggles"), F.countDistinct("toggle").alias("qty"))).alias("report"))
 
 
+def wrapped(toggles: DataFrame, pattern: str) -> DataFrame:
+    """One row (report): the sorted names under a key of the pattern; with enum also their number."""
+    if pattern not in ("dead", "nested", "enum", "spread"):
+        raise ValueError(f"unsupported pattern: {pattern}")
+    parts = [F.array_sort(F.collect_set("toggle")).alias(f"{pattern}_toggles")]
+    parts += [F.countDistinct("toggle").alias("qty")] if pattern == "enum" else []
+    return toggles.agg(F.to_json(F.struct(*parts)).alias("report"))
+
+
+def _text(c: Column) -> Column:
+    """A string in JSON."""
+    own = F.to_json(F.struct(c.alias("k")))
+    return F.substring(own, F.lit(6), F.length(own) - 6)
+
+
+def _objects(rows: DataFrame, value: Column) -> DataFrame:
+    """(toggle, path, _fns): an object of each function's value, in order of names."""
+    pairs = rows.select("toggle", "path", "fn_name", F.concat(_text(F.col("fn_name")), F.lit(":"), value).alias("pair"))
+    pairs = pairs.groupBy("toggle", "path").agg(F.array_sort(F.collect_list(F.struct("fn_name", "pair"))).alias("pairs"))
+    return pairs.select("toggle", "path", F.concat(F.lit("{"), F.array_join("pairs.pair", ","), F.lit("}")).alias("_fns"))
+
+
 def files_report(rows: DataFrame, functions: DataFrame | None = None) -> DataFrame:
-    """One row (report) of (toggle, path, n): {"toggles": {toggle: [{file, Functions, count}]}, "qty": n}."""
+    """One row (report) of (toggle, path, n): {"toggles": {toggle: [{file, Functions: [{function: n}], count}]}, "qty": n}."""
     if functions is not None:
-        own = functions.groupBy("toggle", "path").agg(F.array_sort(F.collect_list(F.struct("fn_name", "n"))).alias("_fns"))
-        rows = rows.join(own, ["toggle", "path"], "left")
-        fns = F.transform(F.coalesce("_fns", F.array().cast("array<struct<fn_name:string,n:bigint>>")), lambda x: F.create_map(x["fn_name"], x["n"]))
-    else:
-        fns = F.array().cast("array<map<string,bigint>>")
-    per = rows.groupBy("toggle").agg(F.sort_array(F.collect_list(F.struct(F.col("path").alias("file"), F.to_json(fns).alias("Functions"), F.col("n").alias("count")))).alias("files"))
-    per = per.withColumn("files", F.transform("files", lambda x: F.struct(x["file"].alias("file"), F.from_json(x["Functions"], "array<map<string,bigint>>").alias("Functions"), x["count"].alias("count"))))
-    return _keyed(per)
+        rows = rows.join(_objects(functions, F.col("n").cast("string")), ["toggle", "path"], "left")
+    fns = F.coalesce("_fns", F.lit("{}")) if functions is not None else F.lit("")
+    entry = F.concat(F.lit('{"file":'), _text(F.col("path")), F.lit(',"Functions":['), fns, F.lit('],"count":'), F.col("n").cast("string"), F.lit("}"))
+    return _keyed(rows.select("toggle", "path", entry.alias("entry")))
 
 
 def nested_report(rows: DataFrame) -> DataFrame:
-    """One row (report) of (toggle, path, fn_name, dependencies)."""
-    per = rows.groupBy("toggle", "path").agg(F.array_sort(F.collect_list(F.struct("fn_name", "dependencies"))).alias("fns"))
-    fns = F.transform("fns", lambda x: F.create_map(x["fn_name"], x["dependencies"])).alias("Functions")
-    per = per.select("toggle", "path", fns).groupBy("toggle").agg(F.collect_list(F.struct(F.col("path").alias("file"), F.col("Functions"))).alias("files"))
-    return _keyed(per)
+    """One row (report) of (toggle, path, fn_name, dependencies): {"toggles": {toggle: [{file, Functions: [{function: names}]}]}, "qty": n}."""
+    per = _objects(rows, F.to_json("dependencies"))
+    entry = F.concat(F.lit('{"file":'), _text(F.col("path")), F.lit(',"Functions":['), F.col("_fns"), F.lit("]}"))
+    return _keyed(per.select("toggle", "path", entry.alias("entry")))
 
 
-def _keyed(per: DataFrame) -> DataFrame:
-    entries = F.array_sort(F.collect_list(F.struct("toggle", F.to_json("files").alias("files"))))
-    body = F.concat_ws(",", F.transform(entries, lambda x: F.concat(F.to_json(F.struct(x["toggle"].alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(x["toggle"].alias("k")))) - 6), F.lit(":"), x["files"])))
+def _keyed(entries: DataFrame) -> DataFrame:
+    """One row (report) of (toggle, path, entry), in order of names and paths."""
+    per = entries.groupBy("toggle").agg(F.array_sort(F.collect_list(F.struct("path", "entry"))).alias("files"))
+    per = per.select("toggle", F.concat(_text(F.col("toggle")), F.lit(":["), F.array_join("files.entry", ","), F.lit("]")).alias("body"))
+    body = F.array_join(F.array_sort(F.collect_list(F.struct("toggle", "body")))["body"], ",")
     return per.agg(F.concat(F.lit('{"toggles":{'), body, F.lit('},"qty":'), F.count("*").cast("string"), F.lit("}")).alias("report"))
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from flaglens import registry
 from flaglens.functions import text as T
 from flaglens.functions.extents import extents
 from flaglens.operators import extraction as X
@@ -10,7 +11,7 @@ from flaglens.operators import lines as L
 from flaglens.operators import members as M
 from flaglens.operators import usage as U
 from flaglens.plans.catalogue import QUERIES
-from flaglens.registry import canonical, language
+from flaglens.registry import Language, Pattern, canonical, language, languages, register_language
 
 
 def files(spark, *contents):
@@ -171,3 +172,38 @@ def test_line_end_bytes_of_all_separators(spark, tmp_path):
             want.append((str(i), n, end))
     found = QUERIES["line_end_bytes"](spark, str(tmp_path))
     assert got(found) == sorted(want)
+
+
+CPP = "void a() {\n#if BUILDFLAG(USE_A)\n enum { MONDAY, TUESDAY };\n}\nvoid a(int x) { enum E { MONDAY }; enum F { MONDAY }; }\n#if BUILDFLAG(OUTSIDE)\n"
+
+
+def test_within_functions(spark):
+    own = files(spark, CPP, CPP, "", "int x;")
+    spans = spark.createDataFrame([(f"f{k}", i, *e) for k in (0, 1) for i, e in enumerate(extents(CPP, "cpp"))], "path string, ord int, fn_name string, start_byte long, end_byte long")
+    assert got(M.enum_functions(names(spark, "MONDAY", "TUESDAY", "GHOST"), own, spans, "cpp")) == [("MONDAY", "f0", "a", 2), ("MONDAY", "f1", "a", 2), ("TUESDAY", "f0", "a", 1), ("TUESDAY", "f1", "a", 1)]
+    assert got(M.mixed_functions(own, spans, "cpp")) == [("a", "USE_A", 2)]
+    assert got(M.mixed_functions(own, spans.limit(0), "cpp")) == []
+
+
+def test_register_language(spark):
+    ruby = Language("ruby", (Pattern("capitals", r"(?P<toggle>[A-Z][A-Z_]{2,})", 1),), ("SELF_KEYWORD_X",), r"^\s*#.*$", conditions=(r"\bunless\b",), extensions=("rb",))
+    register_language(ruby)
+    try:
+        assert language("Ruby") is ruby and "ruby" in languages()
+        content = "# HIDDEN_LONG_FLAG\nNEW_FEATURE_FLAG = true\nSELF_KEYWORD_X\nrun unless NEW_FEATURE_FLAG && OTHER_FEATURE_FLAG\n"
+        toggles = X.extract(files(spark, content), "ruby")
+        assert got(toggles) == [("NEW_FEATURE_FLAG",), ("OTHER_FEATURE_FLAG",)]
+        assert got(L.nested(files(spark, content), toggles, "ruby")) == [("NEW_FEATURE_FLAG", "f0", "GLOBAL", ["OTHER_FEATURE_FLAG"]), ("OTHER_FEATURE_FLAG", "f0", "GLOBAL", ["NEW_FEATURE_FLAG"])]
+    finally:
+        registry._languages.pop("ruby")
+
+
+def test_file_names(spark):
+    df = spark.createDataFrame([("a/b/C.java",)], "path string")
+    assert [df.select(T.file_name(F.col("path"), g)).first()[0] for g in ("java", "cpp", "csharp")] == ["C.java", "a/b/C.java", "a/b/C.java"]
+    assert df.select(T.file_name(F.lit("x/y.py"), "python")).first()[0] == "y.py"
+
+
+def test_each_in_its_language(spark):
+    df = spark.createDataFrame([("a.py", "NEW_FEATURE_FLAG = True\n", "python"), ("b.go", "var OldFeatureFlag bool = true\n", "go"), ("c", "LOST_FEATURE_FLAG = 1\n", None)], "path string, content string, language string")
+    assert got(X.extract_each(df)) == [("NEW_FEATURE_FLAG",), ("OldFeatureFlag",)]

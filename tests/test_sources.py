@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from flaglens.plans import analyze as A
 from flaglens.plans.analyze import analyze
 from flaglens.sources import files as S
 from flaglens.sources import reports as R
@@ -95,3 +96,35 @@ def test_stream(spark, tree, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(r["n"] for r in spark.sql("SELECT n FROM hits").collect()) == [1, 1, 1]
+
+
+def test_reports(spark):
+    rows = spark.createDataFrame([("b", 'x"y', 1), ("a", "z", 2), ("a", "y", 3)], "toggle string, path string, n long")
+    functions = spark.createDataFrame([("a", "y", "g", 1), ("a", "y", "f", 2)], "toggle string, path string, fn_name string, n long")
+    entry = lambda file, fns, n: {"file": file, "Functions": fns, "count": n}
+    assert json.loads(R.files_report(rows, functions).first()["report"]) == {"toggles": {"a": [entry("y", [{"f": 2, "g": 1}], 3), entry("z", [{}], 2)], "b": [entry('x"y', [{}], 1)]}, "qty": 2}
+    assert json.loads(R.files_report(rows.limit(0)).first()["report"]) == {"toggles": {}, "qty": 0}
+    near = spark.createDataFrame([("a", "y", "f", ["b"]), ("a", "y", "GLOBAL", ["b", "c"])], "toggle string, path string, fn_name string, dependencies array<string>")
+    assert json.loads(R.nested_report(near).first()["report"]) == {"toggles": {"a": [{"file": "y", "Functions": [{"GLOBAL": ["b", "c"], "f": ["b"]}]}]}, "qty": 1}
+    assert json.loads(R.wrapped(rows, "dead").first()["report"]) == {"dead_toggles": ["a", "b"]}
+    assert json.loads(R.wrapped(rows, "enum").first()["report"]) == {"enum_toggles": ["a", "b"], "qty": 2}
+    with pytest.raises(ValueError):
+        R.wrapped(rows, "mixed")
+
+
+def test_bad_bytes_in_a_config(spark, tmp_path):
+    (tmp_path / "Flags.java").write_bytes(b"public boolean NEW_FEATURE_FLAG\xff;\n")
+    with pytest.raises(Exception, match="not UTF-8"):
+        S.scan_configs(spark, str(tmp_path), ["Flags.java"]).collect()
+    out = analyze(spark, str(tmp_path), ["Flags.java"])
+    assert all("not UTF-8" in report["error"] for report in out.values())
+
+
+def test_command_line(spark, tree, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(A, "build_session", lambda: spark)
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    out = tmp_path / "out.json"
+    assert A.main(["-p", str(tree), "-c", "Flags.java", "-t", "dead", "-o", str(out)]) == 0
+    assert json.loads(capsys.readouterr().out) == json.loads(out.read_text()) == {"toggles": ["FEATURE_DELTA_ON"], "qty": 1}
+    assert A.main(["-p", str(tree), "-c", "none.java"]) == 1 and "no config file" in capsys.readouterr().out
+    assert A.main(["-p", str(tree), "-c", "Flags.java", "-l", "cobol"]) == 1
