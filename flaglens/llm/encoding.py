@@ -13,11 +13,17 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from flaglens.llm.worker import hold
 
-#: Pieces that a worker keeps of each of two generations, at about 200 bytes each; fewer cost only time.
+#: Pieces that a worker keeps of each of two generations, at about 50 bytes each, or 200 where parts are counted; fewer cost only time.
 REMEMBERED = 600_000
+#: Pieces that one call of the library encodes.
+LEARNED = 1 << 15
+#: Pieces whose ids are put in a row at once.
+GATHERED = 1 << 19
 
 
 def single_spaced(text: str) -> bool:
@@ -27,9 +33,49 @@ def single_spaced(text: str) -> bool:
     return len(words) == marks + 1 and len(text) - len("".join(words)) == marks
 
 
+class _Shelf:
+    """The ids of pieces met lately, in arrays: those of piece i are flat[starts[i] : starts[i] + sizes[i]]."""
+
+    def __init__(self, dtype: np.dtype, most: int):
+        self.most, self.turn, self.pieces = most, 0, pa.array([], pa.large_string())
+        self.flat, self.starts, self.sizes, self.met = np.zeros(0, dtype=dtype), *(np.zeros(0, dtype=np.int64) for _ in range(3))
+
+    def _part(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _clear(self) -> None:
+        """Keep the half that was met last."""
+        kept = np.sort(np.argsort(-self.met, kind="stable")[: self.most // 2])
+        self.pieces, self.met, sizes = self.pieces.take(pa.array(kept)), self.met[kept], self.sizes[kept]
+        self.flat = self._part(self.starts[kept], sizes)
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+
+    def places(self, pieces: pa.Array, encoded) -> np.ndarray:
+        """Where each of these distinct pieces is; encoded(new pieces, mark) tells the ids of those that aren't there."""
+        if len(self.pieces) > self.most:
+            self._clear()
+        at = pc.index_in(pieces, value_set=self.pieces).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        lacks = np.flatnonzero(at < 0)
+        fresh = pieces.take(pa.array(lacks))
+        feeds = pc.starts_with(fresh, "\n").to_numpy(zero_copy_only=False).astype(bool)
+        for own, mark in ((lacks[feeds], "\n"), (lacks[~feeds], " ")):
+            names = pieces.take(pa.array(own))
+            ids, sizes = encoded(names.to_pylist(), mark)
+            at[own] = len(self.pieces) + np.arange(len(own))
+            self.pieces = pa.concat_arrays([self.pieces, names])
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
+            self.met = np.concatenate([self.met, np.zeros(len(own), dtype=np.int64)])
+        self.turn += 1
+        self.met[at] = self.turn
+        return at
+
+
 class PieceEncoder:
-    """encode(texts) gives the ids of each as bytes of `dtype`, little-endian. Up to 2 * `remembered` pieces are kept: those
-    met lately and those met before them, which go when as many new ones have come."""
+    """encode(texts) gives the ids of each as bytes of `dtype`, little-endian; unit_counts(parts) only their numbers, part by
+    part. Each keeps up to 2 * `remembered` pieces (and those of one call): those met lately and those met before them,
+    which go when as many new ones have come."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
@@ -39,6 +85,7 @@ class PieceEncoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.remembered, self.known, self.before = remembered, {}, {}
+        self.shelf = _Shelf(self.dtype, 2 * remembered)
         self.starts = np.zeros(size, dtype=bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.starts[i] = token.startswith("Ġ")  # the byte-level alphabet's sign for a space
@@ -52,18 +99,27 @@ class PieceEncoder:
         # The call for batches is the one that leaves out offsets.
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
 
+    def _encoded(self, pieces: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces in a row, and how many each has; mark: the line feed that all begin with, or the space before them."""
+        ids, sizes = [np.zeros(0, dtype=self.dtype)], [np.zeros(0, dtype=np.int64)]
+        for i in range(0, len(pieces), LEARNED):
+            group = pieces[i : i + LEARNED]
+            found = self._ids("".join(group) if mark == "\n" else " " + " ".join(group))
+            at = np.flatnonzero(found == self.feed[0] if mark == "\n" else self.starts[found])
+            if len(at) == len(group) and at[0] == 0:
+                ids.append(found)
+                sizes.append(np.diff(at, append=len(found)))
+            else:
+                each = [self._ids(p if mark == "\n" else " " + p) for p in group]
+                ids += each
+                sizes.append(np.array([len(x) for x in each]))
+        return np.concatenate(ids), np.concatenate(sizes)
+
     def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces that begin with a line feed, and others as after a space."""
         for mark, group in (("\n", [p for p in pieces if p[0] == "\n"]), (" ", [p for p in pieces if p[0] != "\n"])):
-            if group:
-                text = "".join(group) if mark == "\n" else " " + " ".join(group)
-                ids = self._ids(text)
-                at = np.flatnonzero(ids == self.feed[0] if mark == "\n" else self.starts[ids])
-                if len(at) == len(group) and at[0] == 0:
-                    raw, cuts = ids.tobytes(), [*(at * self.dtype.itemsize).tolist(), ids.nbytes]
-                    self.known.update((p, raw[cuts[i] : cuts[i + 1]]) for i, p in enumerate(group))
-                else:
-                    self.known.update((p, self._ids(p if mark == "\n" else " " + p).tobytes()) for p in group)
+            ids, sizes = self._encoded(group, mark)
+            raw, cuts = ids.tobytes(), [0, *(np.cumsum(sizes) * self.dtype.itemsize).tolist()]
+            self.known.update((p, raw[cuts[i] : cuts[i + 1]]) for i, p in enumerate(group))
 
     def _know(self, pieces: set[str]) -> None:
         """Have these pieces, none of which was met lately, among the known ones."""
@@ -88,20 +144,32 @@ class PieceEncoder:
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        once, cut = dict.fromkeys(texts), self.dtype.itemsize  # copies in a row, as a mix has them, are encoded once
-        pieces: list[str] = []
-        ends: list[int] = []
-        for t in once:
-            if self._splits(t):
-                # As after a line feed, whose one id is cut off again.
-                own = f"\n{t}".replace("\n", " \n").split(" ")
-                pieces += own[1:]
-            ends.append(len(pieces))
-        ids, at = self._of_pieces(pieces), 0
-        for t, end in zip(once, ends, strict=True):
-            once[t] = b"".join(ids[at:end])[cut:] if end > at else self._ids(t).tobytes()
-            at = end
-        return [once[t] for t in texts]
+        once = dict.fromkeys(texts)  # copies, as a mix has them, are encoded once
+        cut = [t for t in once if self._splits(t)]
+        once.update(zip(cut, self._joined(cut), strict=True))
+        return [self._ids(t).tobytes() if once[t] is None else once[t] for t in texts]
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that are those of their pieces; only pieces not met before become Python objects."""
+        if not texts:
+            return []
+        # Each text as after a line feed, whose one id is cut off again.
+        whole = "".join(f"\n{t}" for t in texts).replace("\n", " \n")
+        pieces = pc.split_pattern(pa.array([whole], pa.large_string()), " ").values.slice(1).dictionary_encode()
+        del whole
+        at = self.shelf.places(pieces.dictionary, self._encoded)
+        starts, sizes, flat = self.shelf.starts[at], self.shelf.sizes[at], self.shelf.flat
+        which, out = pieces.indices.to_numpy(), []
+        for i in range(0, len(which), GATHERED):
+            own = which[i : i + GATHERED]
+            n = sizes[own]
+            ends = np.cumsum(n)
+            out.append(flat[np.repeat(starts[own] - (ends - n), n) + np.arange(ends[-1])])
+        last = np.cumsum([t.count(" ") + t.count("\n") + 1 for t in texts])
+        width = self.dtype.itemsize
+        stops = (np.cumsum(sizes[which])[last - 1] * width).tolist()
+        raw = np.concatenate(out).tobytes()
+        return [raw[a + width : b] for a, b in zip([0, *stops], stops, strict=False)]
 
     def unit_counts(self, parts: list[str]) -> np.ndarray:
         """The number of ids of each of the parts of a text, cut before single spaces and line feeds."""
@@ -130,5 +198,6 @@ def encoder(path: str, remembered: int = REMEMBERED) -> PieceEncoder:
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = PieceEncoder(path)
-    _encoders[path].remembered = remembered
-    return _encoders[path]
+    own = _encoders[path]
+    own.remembered, own.shelf.most = remembered, 2 * remembered
+    return own

@@ -40,8 +40,8 @@ from flaglens.session import ship
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK, EVERY = 1 << 16, 128
-#: Texts that are encoded together.
-TEXTS = 64
+#: Bytes of texts that are encoded together.
+HELD = 12 << 20
 #: Documents whose ids are counted together.
 COUNTED = 256
 #: Tasks that add up the vectors of all others.
@@ -67,7 +67,19 @@ def _unsqueeze(data: bytes, width: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
-def encode(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED) -> tuple[DataFrame, int]:
+def _groups(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in a row that have `held` bytes together, or little more."""
+    group: list[pa.RecordBatch] = []
+    for b in batches:
+        group.append(b)
+        if sum(x.nbytes for x in group) >= held:
+            yield group
+            group = []
+    if group:
+        yield group
+
+
+def encode(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED, held: int = HELD) -> tuple[DataFrame, int]:
     """(doc_id, ids): the squeezed ids of every document with the end id; and the bytes of an id."""
     path = vocabulary or vocabulary_path()
     width = encoder(path).dtype.itemsize
@@ -75,11 +87,11 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, remembered)
         end = np.array([end_id], dtype=own.dtype).tobytes()
-        for b in batches:
-            ids: list[bytes] = []
-            for i in range(0, b.num_rows, TEXTS):
-                ids += [_squeeze(x + end, width) for x in own.encode([t or "" for t in b.column(1).slice(i, TEXTS).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        for group in _groups(batches, held):
+            ids = own.encode([t or "" for b in group for t in b.column(1).to_pylist()])
+            for b in group:
+                some, ids = ids[: b.num_rows], ids[b.num_rows :]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_squeeze(x + end, width) for x in some], pa.binary())], ["doc_id", "ids"])
 
     return ship(spark) and docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean("encoding", run), "doc_id long, ids binary"), width
 
@@ -110,9 +122,9 @@ def count_ids(ids: DataFrame, width: int) -> np.ndarray:
     return of(np.frombuffer(bytes(r["counts"]), dtype=np.int64) for r in merged)
 
 
-def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED) -> None:
+def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED, held: int = HELD) -> None:
     work = Workspace(spark, "tokens")
-    encoded, width = encode(spark, docs, vocabulary, end_id, remembered)
+    encoded, width = encode(spark, docs, vocabulary, end_id, remembered, held)
     ids = work.keep(encoded, "ids", compression="none")
     lengths = code_lengths(count_ids(ids, width))
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
@@ -189,10 +201,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return read(spark, path, lambda ids: (ids.astype(np.int64).tolist(),), "ids array<long>")
 
 
-def digest(spark: SparkSession, docs: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
+def digest(spark: SparkSession, docs: DataFrame, remembered: int = REMEMBERED, held: int = HELD) -> DataFrame:
     """Write docs to a file and read it back: (doc_id, start, n_tokens, ids_crc32)."""
     path = Workspace(spark, "token-file").path("file")
-    write(spark, docs.select("doc_id", "text"), path, remembered=remembered)
+    write(spark, docs.select("doc_id", "text"), path, remembered=remembered, held=held)
     return read(spark, path, lambda ids: (zlib.crc32(np.ascontiguousarray(ids, dtype="<u4")),), "ids_crc32 long")
 
 
@@ -201,5 +213,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digest of the token file of docs. Workers keep fewer pieces, as executors have come by memory in earlier stages."""
-    return digest(spark, docs, REMEMBERED // 6)
+    """The digest of the token file of docs. Workers hold fewer pieces and texts, as executors have come by memory in earlier stages."""
+    return digest(spark, docs, REMEMBERED // 3, HELD // 3)
