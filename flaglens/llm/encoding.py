@@ -27,9 +27,12 @@ GATHERED = 1 << 19
 
 
 def single_spaced(text: str) -> bool:
-    """Whether all white space of a text is single spaces and line feeds between other characters: as many characters of
-    white space as spaces and line feeds, and one word more."""
-    words, marks = text.split(), text.count(" ") + text.count("\n")
+    """Whether all white space of a text is single spaces and line feeds between other characters."""
+    plain = text.replace("\n", " ")
+    if plain.isprintable():  # no white space but spaces
+        return plain[:1] not in ("", " ") and plain[-1] != " " and "  " not in plain
+    # As many characters of white space as spaces and line feeds, and one word more.
+    words, marks = text.split(), plain.count(" ")
     return len(words) == marks + 1 and len(text) - len("".join(words)) == marks
 
 

@@ -10,7 +10,7 @@ survives lost executors:
   id starts);
 * `parts`: part, base: ids in all parts before it.
 
-Writing takes three passes: texts are encoded once and their ids kept; counts of ids over all documents give the
+Writing takes two passes: texts are encoded once, and their ids kept and counted; the counts over all documents give the
 codebook; ids move to ranges of doc_id, are sorted and packed. The codebook and the parts, one row for an id of the
 vocabulary or a part, are all that reaches the driver. Reading unpacks by table look-up, all stretches between
 checkpoints of a block together.
@@ -42,8 +42,6 @@ VOCABULARY = "byte_bpe_50k.json"
 BLOCK, EVERY = 1 << 16, 128
 #: Bytes of texts that are encoded together.
 HELD = 12 << 20
-#: Documents whose ids are counted together.
-COUNTED = 256
 #: Tasks that add up the vectors of all others.
 MERGERS = 8
 #: Blocks whose lanes are decoded together.
@@ -80,53 +78,50 @@ def _groups(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[list[pa.Re
 
 
 def encode(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED, held: int = HELD) -> tuple[DataFrame, int]:
-    """(doc_id, ids): the squeezed ids of every document with the end id; and the bytes of an id."""
+    """(doc_id, ids, counts): the squeezed ids of every document with the end id, and a row of counts alone for each task, how
+    often each id occurs in its documents; and the bytes of an id."""
     path = vocabulary or vocabulary_path()
     width = encoder(path).dtype.itemsize
+    names, kinds = ["doc_id", "ids", "counts"], (pa.int64(), pa.binary(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, remembered)
-        end = np.array([end_id], dtype=own.dtype).tobytes()
+        end, counts = np.array([end_id], dtype=own.dtype).tobytes(), np.zeros(max(len(own.starts), end_id + 1), dtype=np.int64)
         for group in _groups(batches, held):
             ids = own.encode([t or "" for b in group for t in b.column(1).to_pylist()])
             for b in group:
                 some, ids = ids[: b.num_rows], ids[b.num_rows :]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_squeeze(x + end, width) for x in some], pa.binary())], ["doc_id", "ids"])
+                counts += np.bincount(np.frombuffer(b"".join(some), dtype=own.dtype), minlength=len(counts))
+                counts[end_id] += len(some)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_squeeze(x + end, width) for x in some], pa.binary()), pa.nulls(len(some), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, None, zstandard.compress(counts.tobytes(), 1)), kinds, strict=True)], names)
 
-    return ship(spark) and docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean("encoding", run), "doc_id long, ids binary"), width
+    return ship(spark) and docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean("encoding", run), "doc_id long, ids binary, counts binary"), width
 
 
-def count_ids(ids: DataFrame, width: int) -> np.ndarray:
-    """How often each id occurs in all documents: a vector for each task, added up by groups of tasks, then on the driver."""
+def count_ids(ids: DataFrame) -> np.ndarray:
+    """How often each id occurs in all documents: the tasks' vectors, added up by groups of tasks, then on the driver."""
 
-    def of(vectors: Iterator[np.ndarray]) -> np.ndarray:
+    def of(vectors: Iterator[bytes]) -> np.ndarray:
         total = np.zeros(1, dtype=np.int64)
-        for seen in vectors:
-            if len(seen) > len(total):
-                total = np.concatenate([total, np.zeros(len(seen) - len(total), dtype=np.int64)])
-            total[: len(seen)] += seen
+        for v in vectors:
+            total = total + np.frombuffer(zstandard.decompress(v), dtype=np.int64)
         return total
 
-    def one(total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (b.column(0).slice(i, COUNTED) for b in batches for i in range(0, b.num_rows, COUNTED))
-        yield one(of(np.bincount(np.concatenate([_unsqueeze(x.as_py(), width) for x in p])) for p in parts))
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield one(of(np.frombuffer(x.as_py(), dtype=np.int64) for b in batches for x in b.column(0)))
+        total = of(x.as_py() for b in batches for x in b.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], ["counts"])
 
-    tasks = ids.select("ids").mapInArrow(lean("token_file", count), "counts binary")
-    merged = tasks.repartition(MERGERS).mapInArrow(add, "counts binary").collect()  # a vector of the vocabulary each
-    return of(np.frombuffer(bytes(r["counts"]), dtype=np.int64) for r in merged)
+    tasks = ids.where("counts IS NOT NULL").select("counts")
+    merged = tasks.repartition(MERGERS).mapInArrow(lean("token_file", add), "counts binary").collect()  # a vector of the vocabulary each
+    return of(bytes(r["counts"]) for r in merged)
 
 
 def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED, held: int = HELD) -> None:
     work = Workspace(spark, "tokens")
     encoded, width = encode(spark, docs, vocabulary, end_id, remembered, held)
     ids = work.keep(encoded, "ids", compression="none")
-    lengths = code_lengths(count_ids(ids, width))
+    lengths = code_lengths(count_ids(ids))
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     book = spark.sparkContext.broadcast(lengths)  # a byte for each id of the vocabulary
 
@@ -153,7 +148,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str | Non
             yield close()
 
     # Rows of one doc_id can go to several parts; equal rows are in any order.
-    keyed = ids.select("doc_id", "ids", F.xxhash64("ids").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    keyed = ids.where("ids IS NOT NULL").select("doc_id", "ids", F.xxhash64("ids").alias("hash"), F.monotonically_increasing_id().alias("row"))
     ordered = keyed.repartitionByRange("doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "ids")
     ordered.select("doc_id", "ids").mapInArrow(lean("token_file", pack), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     work.drop(ids)
