@@ -41,7 +41,7 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK, EVERY = 1 << 16, 128
 #: Bytes of texts that are encoded together.
-HELD = 12 << 20
+HELD = 6 << 20
 #: Tasks that add up the vectors of all others.
 MERGERS = 8
 #: Blocks whose lanes are decoded together.
@@ -209,4 +209,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The digest of the token file of docs. Workers hold fewer pieces and texts, as executors have come by memory in earlier stages."""
-    return digest(spark, docs, REMEMBERED // 3, HELD // 3)
+    return digest(spark, docs, REMEMBERED * 2 // 3, HELD * 2 // 3)
