@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 from flaglens.llm.worker import hold
 
-#: Pieces that a worker keeps of each of two generations, at about 50 bytes each, or 200 where parts are counted; fewer cost only time.
-REMEMBERED = 300_000
+#: Pieces that a worker keeps, twice over, at about 200 bytes each where parts are counted; fewer cost only time.
+REMEMBERED = 600_000
 #: Pieces that one call of the library encodes.
 LEARNED = 1 << 15
 #: Pieces whose ids are put in a row at once.

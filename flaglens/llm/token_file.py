@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flaglens.llm.encoding import REMEMBERED, encoder
+from flaglens.llm.encoding import encoder
 from flaglens.llm.huffman import Codebook, code_lengths
 from flaglens.llm.store import Workspace
 from flaglens.llm.worker import lean
@@ -40,6 +40,8 @@ from flaglens.session import ship
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK, EVERY = 1 << 16, 128
+#: Pieces that a worker keeps, twice over, at about 50 bytes each; fewer cost only time.
+KEPT = 300_000
 #: Bytes of texts that are encoded together.
 HELD = 6 << 20
 #: Tasks that add up the vectors of all others.
@@ -77,7 +79,7 @@ def _groups(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[list[pa.Re
         yield group
 
 
-def encode(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED, held: int = HELD) -> tuple[DataFrame, int]:
+def encode(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, remembered: int = KEPT, held: int = HELD) -> tuple[DataFrame, int]:
     """(doc_id, ids, counts): the squeezed ids of every document with the end id, and a row of counts alone for each task, how
     often each id occurs in its documents; and the bytes of an id."""
     path = vocabulary or vocabulary_path()
@@ -117,7 +119,7 @@ def count_ids(ids: DataFrame) -> np.ndarray:
     return of(bytes(r["counts"]) for r in merged)
 
 
-def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED, held: int = HELD) -> None:
+def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, remembered: int = KEPT, held: int = HELD) -> None:
     work = Workspace(spark, "tokens")
     encoded, width = encode(spark, docs, vocabulary, end_id, remembered, held)
     ids = work.keep(encoded, "ids", compression="none")
@@ -196,7 +198,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return read(spark, path, lambda ids: (ids.astype(np.int64).tolist(),), "ids array<long>")
 
 
-def digest(spark: SparkSession, docs: DataFrame, remembered: int = REMEMBERED, held: int = HELD) -> DataFrame:
+def digest(spark: SparkSession, docs: DataFrame, remembered: int = KEPT, held: int = HELD) -> DataFrame:
     """Write docs to a file and read it back: (doc_id, start, n_tokens, ids_crc32)."""
     path = Workspace(spark, "token-file").path("file")
     write(spark, docs.select("doc_id", "text"), path, remembered=remembered, held=held)
@@ -209,4 +211,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The digest of the token file of docs. Workers hold fewer pieces and texts, as executors have come by memory in earlier stages."""
-    return digest(spark, docs, REMEMBERED * 2 // 3, HELD * 2 // 3)
+    return digest(spark, docs, KEPT * 2 // 3, HELD * 2 // 3)
