@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flaglens.operators.usage import by_keys
+
 
 def names_report(toggles: DataFrame) -> DataFrame:
     """One row (report): {"toggles": [sorted names], "qty": n}."""
@@ -39,7 +41,7 @@ def _objects(rows: DataFrame, value: Column) -> DataFrame:
 def files_report(rows: DataFrame, functions: DataFrame | None = None) -> DataFrame:
     """One row (report) of (toggle, path, n): {"toggles": {toggle: [{file, Functions: [{function: n}], count}]}, "qty": n}."""
     if functions is not None:
-        rows = rows.join(_objects(functions, F.col("n").cast("string")), ["toggle", "path"], "left")
+        rows = by_keys(rows, _objects(functions, F.col("n").cast("string")), ["toggle", "path"], "left")
     fns = F.coalesce("_fns", F.lit("{}")) if functions is not None else F.lit("")
     entry = F.concat(F.lit('{"file":'), _text(F.col("path")), F.lit(',"Functions":['), fns, F.lit('],"count":'), F.col("n").cast("string"), F.lit("}"))
     return _keyed(rows.select("toggle", "path", entry.alias("entry")))
