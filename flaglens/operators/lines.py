@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flaglens.functions.extents import holders
 from flaglens.functions.text import ascii_words, is_word, split_lines
 from flaglens.operators.usage import text_hits, word_hits
 from flaglens.registry import PROXIMITY, language
+from flaglens.session import ship
 
 GLOBAL = "GLOBAL"
 
@@ -69,13 +74,29 @@ def nested_edges(anchors: DataFrame, lone: bool = False) -> DataFrame:
 def enclosing(df: DataFrame, extents: DataFrame) -> DataFrame:
     """(path, line_no, fn_name): the first function, by name's first place, that holds a line's end byte, or GLOBAL.
 
-    df: (path, line_no, end_byte). Of functions of one name the last one's place counts.
+    df: (path, line_no, end_byte). Of functions of one name the last one's place counts. Only a file's functions come together,
+    as one row; its lines are passed once, in order of their bytes, with the places at which another function begins to hold.
     """
-    last = extents.groupBy(F.col("path").alias("_path"), "fn_name").agg(F.min("ord").alias("first"), F.max_by(F.struct("start_byte", "end_byte"), "ord").alias("at"))
-    ends = df.select("path", "line_no", "end_byte")
-    inside = (F.col("path") == F.col("_path")) & F.col("end_byte").between(F.col("at.start_byte"), F.col("at.end_byte"))
-    met = ends.join(last, inside, "left").groupBy("path", "line_no").agg(F.min_by("fn_name", "first").alias("fn_name"))
-    return met.select("path", "line_no", F.coalesce("fn_name", F.lit(GLOBAL)).alias("fn_name"))
+    spans = extents.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "fn_name", "start_byte", "end_byte"))).alias("spans"))
+    ship(df.sparkSession)
+    marks = spans.select("path", "spans.fn_name", "spans.start_byte", "spans.end_byte").mapInArrow(_holders, "path string, byte long, fn_name string")
+    kind = df.schema["line_no"].dataType
+    marks = marks.select("path", F.lit(None).cast(kind).alias("line_no"), "byte", F.lit(0).alias("of_line"), "fn_name")
+    ends = df.select("path", "line_no", F.col("end_byte").cast("long").alias("byte"), F.lit(1).alias("of_line"), F.lit(None).cast("string").alias("fn_name"))
+    upto = Window.partitionBy("path").orderBy("byte", "of_line").rowsBetween(Window.unboundedPreceding, 0)
+    met = marks.unionByName(ends).withColumn("fn_name", F.last("fn_name", ignorenulls=True).over(upto))
+    return met.where("of_line = 1").select("path", "line_no", F.coalesce("fn_name", F.lit(GLOBAL)).alias("fn_name"))
+
+
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        paths, froms, names = [], [], []
+        for path, *spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            own = holders(*spans)
+            paths += [path] * len(own)
+            froms += [at for at, _ in own]
+            names += [GLOBAL if name is None else name for _, name in own]
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(froms, pa.int64()), pa.array(names, pa.string())], ["path", "byte", "fn_name"])
 
 
 def nested(files: DataFrame, toggles: DataFrame, lang: str, extents: DataFrame | None = None, compat: bool = False, proximity: int = PROXIMITY) -> DataFrame:

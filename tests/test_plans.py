@@ -1,7 +1,10 @@
 """How queries are carried out: what would not show in results until tables are large."""
 
+import random
+
 import pytest
 
+from flaglens.operators import lines as L
 from flaglens.plans.catalogue import QUERIES
 from tests.test_catalogue import SF, pytestmark  # noqa: F401
 
@@ -14,3 +17,23 @@ def plan(df):
 def test_texts_are_not_broadcast(spark, name):
     """What is made of a row of customers is estimated at a few bytes and was collected by the driver."""
     assert "Broadcast" not in plan(QUERIES[name](spark, str(SF)))
+
+
+def test_lines_meet_functions_in_order(spark):
+    """Not each line of a file with each of its functions."""
+    rng = random.Random(7)
+    spans = [(f"f{p}", o, f"g{rng.randrange(25)}", s := rng.randrange(-1, 300), s + rng.choice([-1, 0, 3, 20, 90])) for p in range(3) for o in range(40)]
+    lines = [(f"f{p}", n, n * 2 + 1) for p in range(4) for n in range(200)]
+    extents = spark.createDataFrame(spans, "path string, ord int, fn_name string, start_byte long, end_byte long")
+    found = L.enclosing(spark.createDataFrame(lines, "path string, line_no int, end_byte long"), extents)
+    assert "Join" not in plan(found)
+    assert dict(found.dtypes) == {"path": "string", "line_no": "int", "fn_name": "string"}
+    want = []
+    for path, n, end in lines:
+        first, last = {}, {}
+        for _, o, name, s, e in (x for x in spans if x[0] == path):
+            first.setdefault(name, o)
+            last[name] = (s, e)
+        held = [(first[name], name) for name, (s, e) in last.items() if s <= end <= e]
+        want.append((path, n, min(held)[1] if held else "GLOBAL"))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
