@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from flaglens.functions.extents import holders
 from flaglens.functions.text import ascii_words, is_word, split_lines
-from flaglens.operators.usage import text_hits, word_hits
+from flaglens.operators.usage import by_keys, text_hits, word_hits
 from flaglens.registry import PROXIMITY, language
 from flaglens.session import ship
 
@@ -43,7 +43,7 @@ def line_hits(df: DataFrame, toggles: DataFrame, small: bool | None = None) -> D
     names = names.withColumn("_part", F.col("toggle"))
     in_lines = df.select("path", "line_no", F.explode(F.array_distinct(ascii_words(F.col("line")))).alias("word"))
     holds = word_hits(in_lines.select("word").distinct(), names.where(is_word(F.col("toggle")))).select("word", "toggle")
-    by_word = in_lines.join(holds, "word").select("path", "line_no", "toggle")
+    by_word = by_keys(in_lines, holds, "word").select("path", "line_no", "toggle")
     other = names.where(~is_word(F.col("toggle")))
     if other.isEmpty():
         return by_word.distinct()
@@ -57,7 +57,7 @@ def nested_anchors(df: DataFrame, hits: DataFrame, proximity: int = PROXIMITY) -
     df: (path, line_no, cond), hits: (path, line_no, toggle).
     """
     on = hits.groupBy("path", "line_no").agg(F.collect_set("toggle").alias("toggles"))
-    on = on.join(df.select("path", "line_no", "cond"), ["path", "line_no"])
+    on = by_keys(on, df.select("path", "line_no", "cond"), ["path", "line_no"])
     frame = Window.partitionBy("path").orderBy("line_no").rangeBetween(-proximity, proximity)
     near = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("cond"), F.col("toggles"))).over(frame))))
     return on.select("path", "line_no", near.alias("near")).where(F.size("near") > 0)
@@ -107,7 +107,7 @@ def nested(files: DataFrame, toggles: DataFrame, lang: str, extents: DataFrame |
     if extents is None:
         edges = edges.withColumn("fn_name", F.lit(GLOBAL))
     else:
-        ends = with_end_bytes(lines(files)).join(anchors.select("path", "line_no"), ["path", "line_no"], "left_semi")
-        edges = edges.join(enclosing(ends.select("path", "line_no", "end_byte"), extents), ["path", "line_no"])
+        ends = by_keys(with_end_bytes(lines(files)), anchors.select("path", "line_no"), ["path", "line_no"], "left_semi")
+        edges = by_keys(edges, enclosing(ends.select("path", "line_no", "end_byte"), extents), ["path", "line_no"])
     gather = F.collect_list if compat else F.collect_set
     return edges.groupBy("toggle", "path", "fn_name").agg(F.array_sort(gather("dependency")).alias("dependencies"))
