@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().sparkPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["spread_report", "nested_functions"])
+@pytest.mark.parametrize("name", ["spread_report", "nested_functions", "nested_report"])
 def test_texts_are_not_broadcast(spark, name):
     """What is made of a row of customers is estimated at a few bytes and was collected by the driver."""
     assert "Broadcast" not in plan(QUERIES[name](spark, str(SF)))
