@@ -3,14 +3,51 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame as ClassicFrame
 
 from flaglens.operators.usage import by_keys
 
 
+#: Bytes of a report that reach the driver at once, far below a region of its heap.
+PIECE = 1 << 18
+
+
+class Report(ClassicFrame):
+    """A frame of one long text, report, which reaches the driver in pieces. As a row it stands five times in the driver's heap
+    while it is pickled, and where that is too small toPandas() gives no row and no error. What is made of it is a plain frame."""
+
+    def collect(self) -> list[Row]:
+        text = F.col("report").cast("binary")
+        places = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / PIECE).cast("int"))
+        pieces = self.select(F.explode(F.transform(places, lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE)))).alias("piece"))
+        whole = bytearray()
+        for r in pieces.toLocalIterator():
+            whole += r["piece"]
+        return [Row(report=whole.decode("utf-8"))]
+
+    def take(self, num: int) -> list[Row]:
+        return self.collect()[:num]
+
+    def tail(self, num: int) -> list[Row]:
+        return self.collect()[-num:] if num > 0 else []
+
+    def toLocalIterator(self, prefetchPartitions: bool = False) -> Iterator[Row]:
+        return iter(self.collect())
+
+    def toArrow(self) -> pa.Table:
+        return pa.table({"report": [r["report"] for r in self.collect()]})
+
+    def toPandas(self) -> pd.DataFrame:
+        return pd.DataFrame.from_records(self.collect(), columns=self.columns)
+
+
 def names_report(toggles: DataFrame) -> DataFrame:
     """One row (report): {"toggles": [sorted names], "qty": n}."""
     return toggles.agg(F.to_json(F.struct(F.array_sort(F.collect_set("toggle")).alias("toggles"), F.countDistinct("toggle").alias("qty"))).alias("report"))
@@ -59,7 +96,8 @@ def _keyed(entries: DataFrame) -> DataFrame:
     per = entries.groupBy("toggle").agg(F.array_sort(F.collect_list(F.struct("path", "entry"))).alias("files"))
     per = per.select("toggle", F.concat(_text(F.col("toggle")), F.lit(":["), F.array_join("files.entry", ","), F.lit("]")).alias("body"))
     body = F.array_join(F.array_sort(F.collect_list(F.struct("toggle", "body")))["body"], ",")
-    return per.agg(F.concat(F.lit('{"toggles":{'), body, F.lit('},"qty":'), F.count("*").cast("string"), F.lit("}")).alias("report"))
+    out = per.agg(F.concat(F.lit('{"toggles":{'), body, F.lit('},"qty":'), F.count("*").cast("string"), F.lit("}")).alias("report"))
+    return Report(out._jdf, out.sparkSession)
 
 
 def to_text(reports: dict[str, object], indent: int = 2) -> str:

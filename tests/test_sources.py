@@ -112,6 +112,36 @@ def test_reports(spark):
         R.wrapped(rows, "mixed")
 
 
+def test_reports_reach_the_driver_in_pieces(spark, monkeypatch):
+    """Not as one row, which the driver's heap holds five times while it is pickled."""
+    from pyspark.sql.classic.dataframe import DataFrame as ClassicFrame
+
+    near = spark.createDataFrame([(f"\u00e9\U0001f600{i}", f"y{j}", "f", ["b\u00fc"]) for i in range(9) for j in range(5)], "toggle string, path string, fn_name string, dependencies array<string>")
+    counts = near.selectExpr("toggle", "path", "1L AS n")
+    whole = lambda df: df.select("report").collect()[0]["report"]
+    frames = [(make(rows), whole(make(rows))) for make, all_rows in ((R.nested_report, near), (R.files_report, counts)) for rows in (all_rows, all_rows.limit(0))]
+    sizes, by_rows = [], ClassicFrame.toLocalIterator
+
+    def watched(df, *args):
+        for r in by_rows(df, *args):
+            sizes.append(len(r[0]))
+            yield r
+
+    def refused(df):
+        raise AssertionError("collected as one row")
+
+    monkeypatch.setattr(ClassicFrame, "toLocalIterator", watched)
+    monkeypatch.setattr(ClassicFrame, "collect", refused)
+    for piece in (1 << 18, 100, 7):
+        monkeypatch.setattr(R, "PIECE", piece, raising=False)
+        for df, want in frames:
+            assert df.first()["report"] == want and df.columns == ["report"]
+            assert sizes and max(sizes) <= piece and sum(sizes) == len(want.encode())
+            sizes.clear()
+    assert df.collect() == df.take(2) == df.tail(1) == list(df.toLocalIterator()) and df.take(0) == df.tail(0) == []
+    assert df.toPandas()["report"].tolist() == [want] and df.toArrow().to_pydict() == {"report": [want]}
+
+
 def test_bad_bytes_in_a_config(spark, tmp_path):
     (tmp_path / "Flags.java").write_bytes(b"public boolean NEW_FEATURE_FLAG\xff;\n")
     with pytest.raises(Exception, match="not UTF-8"):
